@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import row_key, settled
 
+#: So many boilerplate lines or fewer (16 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_LINES = 200_000
 #: Sketches of 2^10 registers err by 3 % (one sigma); estimates within a quarter of the threshold are counted exactly.
 LG_K, NEAR = 10, 0.25
 
@@ -41,6 +43,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text:
     """
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key(key, text), F.col(text).alias("_text"))
     spread = settled(boilerplate(docs, min_sites, key, text, site))
+    spread = F.broadcast(spread) if spread.count() <= BROADCAST_LINES else spread
     gone = lines(docs, key, text, site).join(spread, "line").filter(~F.col("key").eqNullSafe(F.col("first"))).groupBy("_id", "_text_hash").agg(F.collect_set("pos").alias("_gone"))
     cut = F.split("_text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_gone")), lambda i: F.get(cut, i))
