@@ -45,8 +45,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text:
     spread = settled(boilerplate(docs, min_sites, key, text, site))
     spread = F.broadcast(spread) if spread.count() <= BROADCAST_LINES else spread
     gone = lines(docs, key, text, site).join(spread, "line").filter(~F.col("key").eqNullSafe(F.col("first"))).groupBy("_id", "_text_hash").agg(F.collect_set("pos").alias("_gone"))
-    cut = F.split("_text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_gone")), lambda i: F.get(cut, i))
+    stay = lambda cut: F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_gone")), lambda i: F.get(cut, i))
+    left = F.transform(F.array(F.split("_text", "\n", -1)), stay)[0]  # the text is split once, not for each line
     out = base.join(gone, ["_id", "_text_hash"], "left").withColumn("_new", F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n")))
     names = [F.col("_new").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     return out.select(*names, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
