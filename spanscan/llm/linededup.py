@@ -31,7 +31,8 @@ def boilerplate(docs: DataFrame, min_sites: int, key: str = "doc_id", text: str
     sketched = each.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("key").alias("first")).select("line", "first", F.hll_sketch_estimate("sketch").alias("spread"))
     wide = settled(sketched.filter(F.col("spread") >= int(min_sites * (1 - NEAR))))
     near = wide.filter(F.col("spread") <= min_sites * (1 + NEAR))
-    exact = each.filter("site is not null").join(near.select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").count().filter(F.col("count") >= min_sites)
+    asked = F.broadcast(near.select("line")) if wide.count() <= BROADCAST_LINES else near.select("line")
+    exact = each.filter("site is not null").join(asked, "line", "left_semi").select("line", "site").distinct().groupBy("line").count().filter(F.col("count") >= min_sites)
     return wide.filter(F.col("spread") > min_sites * (1 + NEAR)).select("line", "first").unionByName(near.join(exact, "line").select("line", "first"))
 
 
