@@ -83,6 +83,32 @@ def nhs(number: Column) -> Column:
     return F.coalesce(F.when(number.rlike("^[0-9]{10}$"), (check != 10) & (check == F.get(d, F.lit(9)))), F.lit(False))
 
 
+def iban(number: Column) -> Column:
+    """Bank account numbers, spaces aside: with the first four characters last and letters as 10 to 35, the number leaves 1 when divided by 97."""
+    plain = F.regexp_replace(number, " ", "")
+    chars = F.filter(F.split(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4)), ""), lambda c: c != "")
+    step = lambda s, c: F.when(c.rlike("[0-9]"), s * 10 + _digit(c)).otherwise(s * 100 + F.ascii(c) - 55) % 97
+    return F.coalesce(F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), F.aggregate(chars, F.lit(0), step) == 1), F.lit(False))
+
+
+def npi(number: Column) -> Column:
+    """US provider numbers: ten digits whose check digit is right after the prefix 80840."""
+    return F.coalesce(F.when(number.rlike("^[0-9]{10}$"), _luhn_sum(F.concat(F.lit("80840"), number)) % 10 == 0), F.lit(False))
+
+
+def ipv4(address: Column) -> Column:
+    """Four octets up to 255, not all 0 and not all 255."""
+    octets = F.transform(F.split(address, r"\."), _digit)
+    fits = F.forall(octets, lambda x: x <= 255) & ~F.forall(octets, lambda x: x == 0) & ~F.forall(octets, lambda x: x == 255)
+    return F.coalesce(F.when(address.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), fits), F.lit(False))
+
+
+def nino(number: Column) -> Column:
+    """UK insurance numbers: two letters that are given out, six digits, a letter from A to D."""
+    shape = number.rlike("^[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{6}[A-D]$")
+    return F.coalesce(shape & ~F.substring(number, 1, 2).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ"), F.lit(False))
+
+
 def fingerprint(text: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), text), 256)
 

@@ -94,6 +94,13 @@ def validators(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.luhn(card).alias("card"), T.siren(nine).alias("siren"), T.ssn(social).alias("ssn"), T.nhs(F.lpad(n.cast("string"), 10, "9")).alias("nhs"))
 
 
+def more_validators(spark, sf_dir):
+    n = F.col("doc_id") * 7919 + 12345
+    account = F.concat(F.lit("GB"), F.lpad((n % 100).cast("string"), 2, "0"), F.lpad(n.cast("string"), 14, "3"))
+    address = F.concat_ws(".", *[(n % k).cast("string") for k in (300, 7, 256, 5)])
+    return table(spark, sf_dir, "documents").select("doc_id", T.iban(account).alias("iban"), T.npi(F.lpad(n.cast("string"), 10, "1")).alias("npi"), T.ipv4(address).alias("ipv4"))
+
+
 def merged_intervals(spark, sf_dir):
     spans = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 97).alias("start"), (F.col("l_partkey") % 97 + F.col("l_quantity").cast("long")).alias("end"))
     return matching.merged(spans, "l_orderkey").select("l_orderkey", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "n")
@@ -172,7 +179,7 @@ def label_quality(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_documents, injection_matches, injection_category_counts, pii_offsets, pii_priority, pii_counts_by_lang, pii_valid_cards, pii_redacted, entropy_anomaly, folded_text, leet_text, validators,
+        scan_documents, injection_matches, injection_category_counts, pii_offsets, pii_priority, pii_counts_by_lang, pii_valid_cards, pii_redacted, entropy_anomaly, folded_text, leet_text, validators, more_validators,
         merged_intervals, text_windows, latency_histogram, latency_p95, daily_upsert, recent_events, minute_quota, replays_dropped, stream_tails, event_windows, inspection_gate, spans_by_origin, policy_decisions, label_quality,
     )
 }
@@ -206,6 +213,10 @@ SQL = {
     "folded_text": f"WITH t AS ({_PLANTED_SQL}), f AS (SELECT doc_id, translate(translate(text, '{T.LOOKALIKES[0]}', '{T.LOOKALIKES[1]}'), '{T.INVISIBLE}', '') AS f FROM t) SELECT doc_id, sha256(f) AS folded_sha256, contains(f, 'paypal login') AS restored FROM f",
     "leet_text": """WITH t AS (SELECT conv_id, turn, list_transform(range(1, length(x) + 1), lambda i: x[i]) AS c FROM (SELECT conv_id, turn, translate(text, 'oieas', '01345') AS x FROM conversations))
         SELECT conv_id, turn, sha256(array_to_string(list_transform(c, lambda v, i: CASE WHEN regexp_matches(coalesce(c[i - 1], '') || coalesce(c[i + 1], ''), '[A-Za-z]') THEN translate(v, '01345' || '78@$', 'oieas' || 'tbas') ELSE v END), '')) AS plain_sha256 FROM t""",
+    "more_validators": """WITH n AS (SELECT doc_id, doc_id * 7919 + 12345 AS n FROM documents), v AS (SELECT doc_id, n, '80840' || lpad(n::VARCHAR, 10, '1') AS d FROM n)
+        SELECT doc_id, (lpad(n::VARCHAR, 14, '3') || '1611' || lpad((n % 100)::VARCHAR, 2, '0'))::HUGEINT % 97 = 1 AS iban,
+               list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN d[i]::INT WHEN d[i]::INT > 4 THEN 2 * d[i]::INT - 9 ELSE 2 * d[i]::INT END)) % 10 = 0 AS npi,
+               n % 300 <= 255 AND n % 300 + n % 7 + n % 256 + n % 5 > 0 AS ipv4 FROM v""",
     "merged_intervals": "WITH s AS (SELECT l_orderkey, l_partkey % 97 AS start, l_partkey % 97 + l_quantity::BIGINT AS stop FROM lineitem) " + _ISLANDS.format(k="l_orderkey", s="s"),
     "text_windows": "SELECT doc_id, ix, sha256(substr(text, ix * 1000 + 1, 1500)) AS window_sha256 FROM (SELECT doc_id, text, unnest(range(0, greatest(0, floor((length(text) - 501) / 1000.0)::BIGINT) + 1)) AS ix FROM documents WHERE text IS NOT NULL)",
     "latency_histogram": _HIST,

@@ -49,6 +49,10 @@ def one(spark, value, f):
         (T.luhn, ["4111 1111 1111 1111", "5500-0000-0000-0004"], ["4111 1111 1111 1112", "0000000000000000", "", None, "abc"]),
         (T.siren, ["732829320"], ["732829321", "", None]),
         (T.ssn, ["123-45-6789"], ["000-45-6789", "666-45-6789", "912-45-6789", "123-00-6789", "123-45-0000", "x", None]),
+        (T.iban, ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"], ["GB82WEST12345698765433", "GB82", "", None]),
+        (T.npi, ["1234567893"], ["1234567890", "123", "", None]),
+        (T.ipv4, ["10.0.0.1", "255.255.255.0"], ["0.0.0.0", "255.255.255.255", "256.1.1.1", "1.2.3", "", None]),
+        (T.nino, ["AB123456C"], ["GB123456C", "DA123456C", "AB123456E", "", None]),
         (T.nhs, ["9434765919"], ["9434765918", "", None, "abcdefghij"]),
     ],
 )
