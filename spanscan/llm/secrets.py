@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Versions of one blob are dealt over so many tasks where findings are joined back to them.
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class Rule:
     """Leftmost non-overlapping matches of `pattern`; those whose `group` is shorter than `least` fail."""
@@ -96,7 +100,12 @@ def spans_of(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def located(versions: DataFrame, findings: DataFrame, keep: list[str], text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A row for each version of each path, with the spans of its blob; those without findings have counts of 0."""
-    per = spans_of(findings, rules)
-    of = versions.select(*keep, blob_id(text).alias("blob")).join(per, "blob", "left")
+    """A row for each version of each path, with the spans of its blob; those without findings have counts of 0.
+
+    Copies of one blob may be a third of all versions: they are salted by their kept columns, and the findings, few
+    beside the versions, go to each salt.
+    """
+    per = spans_of(findings, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int") if keep else F.lit(0)
+    of = versions.select(*keep, blob_id(text).alias("blob"), salt.alias("salt")).join(per, ["blob", "salt"], "left")
     return of.select(*keep, "blob", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules], F.coalesce("spans", F.lit("")).alias("spans"))
