@@ -109,6 +109,69 @@ def nino(number: Column) -> Column:
     return F.coalesce(shape & ~F.substring(number, 1, 2).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ"), F.lit(False))
 
 
+def siret(number: Column) -> Column:
+    """French establishment numbers, spaces aside: 14 digits, not all the same, with a right check digit; those of the post office add up to a multiple of 5."""
+    d = F.regexp_replace(number, r"\s", "")
+    plain_sum = F.aggregate(F.filter(F.split(d, ""), lambda c: c != ""), F.lit(0), lambda s, c: s + _digit(c))
+    return F.coalesce(F.when(d.rlike("^[0-9]{14}$") & ~d.rlike(r"^(.)\1*$"), F.when(d.startswith("356000000"), plain_sum % 5 == 0).otherwise(_luhn_sum(d) % 10 == 0)), F.lit(False))
+
+
+def nir(number: Column) -> Column:
+    """French social security numbers, spaces aside: 13 digits and the key 97 less their remainder by 97. In Corsican ones an A counts as 0 less a million, a B as 0 less two."""
+    d = F.upper(F.regexp_replace(number, r"\s", ""))
+    body = F.substring(d, 1, 13)
+    less = F.when(body.contains("A"), 1_000_000).when(body.contains("B"), 2_000_000).otherwise(0)
+    digits = F.when(body.contains("A"), F.replace(body, F.lit("A"), F.lit("0"))).otherwise(F.replace(body, F.lit("B"), F.lit("0")))
+    value = F.when(digits.rlike("^[0-9]{13}$"), digits.cast("long")) - less
+    shape = d.rlike("^[12][0-9]{2}(0[1-9]|1[0-2]|20|[3-9][0-9]|[0-9][AB])[0-9][0-9AB][0-9]{8}$")
+    return F.coalesce(F.when(shape, F.lit(97) - value % 97 == F.substring(d, 14, 2).cast("int")), F.lit(False))
+
+
+def postcode(code: Column) -> Column:
+    """UK postcodes by their structure."""
+    shape = r"(?i)^(GIR ?0AA|[A-PR-UWYZ]([0-9]{1,2}|[A-HK-Y][0-9]|[A-HK-Y][0-9]([0-9]|[ABEHMNPRV-Y])|[0-9][A-HJKPS-UW]) ?[0-9][ABD-HJLNP-UW-Z]{2})$"
+    return F.coalesce(F.trim(code).rlike(shape), F.lit(False))
+
+
+def jwt(token: Column) -> Column:
+    """Three parts that aren't empty, of which the first is a JSON object with a string `alg`, in base64."""
+    head = F.translate(F.split(token, r"\.")[0], "-_", "+/")
+    padded = F.rpad(head, (F.ceil(F.length(head) / 4) * 4).cast("int"), "=")
+    alg = F.try_parse_json(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    return F.coalesce(token.rlike(r"^[^.]+\.[^.]+\.[^.]+$") & (F.schema_of_variant(F.try_variant_get(alg, "$.alg", "variant")) == "STRING"), F.lit(False))
+
+
+def ipv6(address: Column) -> Column:
+    """Eight groups of one to four hex digits, `::` once for those left out; not all 0, not all ffff, and with `::` or a letter, as dates have neither."""
+    halves = F.split(address, "::", -1)
+    groups = lambda h: F.filter(F.split(h, ":", -1), lambda g: (F.length(h) > 0) | (g != ""))
+    short = F.size(halves) == 2
+    given = F.when(short, F.concat(groups(halves[0]), groups(F.get(halves, F.lit(1))))).otherwise(groups(halves[0]))
+    right = F.forall(given, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & F.when(short, F.size(given) <= 7).otherwise((F.size(halves) == 1) & (F.size(given) == 8))
+    zero = F.forall(given, lambda g: g.rlike("^0+$"))
+    full = ~short & F.forall(given, lambda g: F.lower(g) == "ffff")
+    return F.coalesce(right & ~zero & ~full & (short | address.rlike("[A-Fa-f]")), F.lit(False))
+
+
+def generic_secret(value: Column) -> Column:
+    """32 characters or more, with a letter and a digit, of 4 bits of entropy or more."""
+    return F.coalesce((F.length(value) >= 32) & value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (entropy(value) >= 4.0), F.lit(False))
+
+
+def joined_letters(text: Column) -> Column:
+    """Runs of four or more single letters, a blank between each two, drawn together."""
+    run = r"\b[A-Za-z](?:\s[A-Za-z]){3,}\b"
+    closed = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda m: F.regexp_replace(m, r"\s", ""))
+    pieces = F.zip_with(F.split(text, run, -1), closed, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    return F.array_join(pieces, "")
+
+
+def wrapped(text: Column) -> Column:
+    """The insides of document and search_result elements, in their order by kind."""
+    inner = lambda tag: F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    return F.concat(inner("documents?"), inner("search_results?"))
+
+
 def fingerprint(text: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), text), 256)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spanscan import plans
 from spanscan.functions import text as T
-from spanscan.operators import matching, provenance, telemetry
+from spanscan.functions import wire
+from spanscan.operators import context, matching, provenance, telemetry
 from spanscan.sources.tables import rules
 from spanscan.streaming import reassembly
 
@@ -53,6 +54,12 @@ def one(spark, value, f):
         (T.npi, ["1234567893"], ["1234567890", "123", "", None]),
         (T.ipv4, ["10.0.0.1", "255.255.255.0"], ["0.0.0.0", "255.255.255.255", "256.1.1.1", "1.2.3", "", None]),
         (T.nino, ["AB123456C"], ["GB123456C", "DA123456C", "AB123456E", "", None]),
+        (T.siret, ["732 829 320 00074", "35600000000001"], ["73282932000075", "00000000000000", "35600000000002", "", None]),
+        (T.nir, ["255081416802538", "2 55 08 14 168 025 38"], ["255081416802539", "955081416802538", "", None]),
+        (T.postcode, ["SW1A 1AA", "m1 1ae", " GIR 0AA "], ["QQ1 1AA", "SW1A", "", None]),
+        (T.jwt, ["eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln"], ["a.b", "eyJhIjoxfQ.b.c", "eyJhbGciOjF9.b.c", "..", "", None]),
+        (T.ipv6, ["fe80::1", "2001:db8:0:0:0:0:0:1", "::ffff"], ["::", "1:2:3:4:5:6:7:8", "1::2::3", "12345::", "x::1", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "", None]),
+        (T.generic_secret, ["a8Fk29dLmQ0zXc7VbN3rTy6UiOp1WsEe"], ["a1" * 20, "short1", "", None]),
         (T.nhs, ["9434765919"], ["9434765918", "", None, "abcdefghij"]),
     ],
 )
@@ -66,6 +73,24 @@ def test_text_functions(spark):
     assert one(spark, "p​аy", lambda c: T.strip_invisible(T.fold_lookalikes(c))) == "pay"
 
 
+def test_letters_and_wrappers(spark):
+    assert one(spark, "so i g n o r e it, a b c", T.joined_letters) == "so ignore it, a b c"
+    assert one(spark, "", T.joined_letters) == "" and one(spark, None, T.joined_letters) is None
+    assert one(spark, '<document id="1">a\nb</document> <SEARCH_RESULT>c</SEARCH_RESULT>', T.wrapped) == ["a\nb", "c"]
+
+
+def test_wire(spark):
+    kind = lambda b: spark.createDataFrame([(b,)], "v binary").select(wire.sniff(F.col("v"))).first()[0]
+    heads = [b"%PDF-1.7", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff\xe0", b"GIF89a", b"RIFF\0\0\0\0WEBP", b"ID3\x04", b"\xff\xfb\x90", b"\0\0\0\x18ftypheic", b"\0\0\0\x18ftypM4A ", b"plain", b"", None]
+    assert [kind(h) for h in heads] == ["pdf", "image", "image", "image", "image", "audio", "audio", "image", "audio", None, None, None]
+    assert one(spark, "a\n\nb\r\n\r\nrest", wire.frames) == ["a", "b"] and one(spark, "", wire.frames) == []
+    assert one(spark, 'data: {"choices":[{"delta":{"content":"hi"}}]}', wire.delta_text) == "hi" and one(spark, "data: [DONE]", wire.delta_text) is None and one(spark, "data: odd", wire.delta_text) == "odd "
+    assert one(spark, "../a b.txt", wire.file_name) == "..ab.txt" and one(spark, "/", wire.file_name) == "file" and one(spark, "%zz", wire.url_decoded) == "%zz"
+    assert one(spark, "x", lambda c: wire.safe_header(F.lit("X-A"), c)) is True and one(spark, "x\r\ny", lambda c: wire.safe_header(F.lit("X-A"), c)) is False
+    assert one(spark, "x", lambda c: wire.proof_of_work(c, F.lit("1"), 0, F.lit(10))) is True and one(spark, "x", lambda c: wire.proof_of_work(c, F.lit("1"), 0, F.lit(121))) is False
+    assert one(spark, "x", lambda c: context.even_places(F.lit(10), 4)) == [0, 3, 6, 9] and one(spark, "x", lambda c: context.even_places(F.lit(0), 4)) == []
+
+
 def test_matches_and_scores(spark):
     rule = (matching.Rule("r", "c", "high", "a b"), matching.Rule("s", "c", "low", "b 😀"))
     df = spark.createDataFrame([(1, "x a b 😀 a b"), (2, ""), (3, None), (4, "zzz")], "id long, text string")
