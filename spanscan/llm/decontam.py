@@ -190,7 +190,7 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that hold a window of the benchmark. docs is read twice, as a stored table."""
-    numbered = docs.withColumn("__place", F.monotonically_increasing_id())
+    """docs, all columns, without the rows that hold a window of the benchmark. The numbered rows are written once, so both sides of the join have the same numbers."""
+    numbered = written(docs.withColumn("__place", F.monotonically_increasing_id()), "numbered")
     hit = matches(numbered, items, window, key="__place", text=text, item_key=item_key, item_text=item_text).filter("n_hit > 0").select("__place")
     return numbered.join(hit, "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, written
 
 BITS = 64
 #: A shard of more fingerprints than this is split in Spark; a leaf of this many is compared pair by pair.
@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, key: str =
 def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one row of each component: the one with the smallest key, of repeated rows the first.
 
-    docs is read twice and has to give the same rows in the same order, as stored tables do.
+    The numbered rows are written once, so both sides of the join have the same numbers.
     """
-    numbered = docs.withColumn("__place", F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("place")))
+    numbered = written(docs.withColumn("__place", F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("place"))), "numbered")
     kept = near_duplicates(numbered, radius, width, "__place", text).filter(F.col("__place") == F.col("component_id")).select("__place")
     return numbered.join(kept, "__place", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
