@@ -3,7 +3,8 @@
 Words may come disguised: digits and signs for letters, letters drawn out, separators or spaces between them. Each
 suspect word is a lattice of characters; a Viterbi search under a character language model of the corpus finds the
 likeliest plain word. Plain and restored words are then scored with a lexicon of words and word beginnings learned
-from labelled rows. Words without any mark of disguise have a lattice of one path and are taken as they are.
+from labelled rows. Words without a sign, a separator between letters or a doubled letter have a lattice of one path
+and are taken as they are.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 BETWEEN = ".-_*~'`,:;/\\^#=​‌‍­"
 #: Costs in nats of a sign for a letter, a separator left out, a repeated letter left out, and a sign left out.
 SIGN, SEPARATOR, REPEAT, LOST = 1.0, 0.3, 1.2, 6.0
-#: Labelled rows that the lexicon is fitted on at most, by the order of a hash of their id; lexicon candidates and entries at most.
-SAMPLE, CANDIDATES, ENTRIES = 20_000, 20_000, 2_000
+#: Labelled rows that the lexicon is fitted on at most, by the order of a hash of their id; lexicon entries at most.
+SAMPLE, ENTRIES = 20_000, 2_000
+#: Features that a task counts before it gives the counts away.
+KEPT_FEATURES = 200_000
 #: Toxic rows for each clean one that a feature of the lexicon has, at least.
 MARKS = 8
 #: Symbols of the character model: 0 between words, 1-26 letters, 27 all else. Word beginnings of these lengths in bytes are features.
@@ -36,14 +39,13 @@ SYMBOLS, STEMS = 28, (4, 5, 6, 7, 8)
 _SYMBOL = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256))
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
-_MARKS = frozenset(b for c in (*SIGNS, *BETWEEN) if ord(c) < 128 for b in c.encode())
-#: Kinds of byte: a letter, 1 mark, blank white space, o other.
-_KINDS = bytes(ord("a") if chr(b).isalpha() and b < 128 or b >= 128 else 32 if b in _SPACE else ord("1") if b in _MARKS else ord("o") for b in range(256))
-_FULL = bytes(32 if b in _SPACE else ord("x") for b in range(256))
-#: Marks with letters on both sides, or at a word's start before two letters.
-_MARKED = re.compile(rb"1(?:(?<=a1)1*a|(?<= 1)1*aa)")
-#: Marks and letters outside ASCII: rare, so texts that hold one are searched with the slower pattern.
-_WIDE_MARKS = re.compile("[" + re.escape("".join(c for c in (*SIGNS, *BETWEEN) if ord(c) >= 128)) + "]")
+_ASCII_SIGNS, _MARKS = (frozenset(ord(c) for c in of if ord(c) < 128) for of in (SIGNS, BETWEEN))
+#: Kinds of byte: a letter, s sign for a letter, 1 separator, blank white space, o other.
+_KINDS = bytes(ord("a") if chr(b).isalpha() and b < 128 or b >= 128 else 32 if b in _SPACE else ord("s") if b in _ASCII_SIGNS else ord("1") if b in _MARKS else ord("o") for b in range(256))
+#: A sign anywhere, with the rest of its word; separators with letters on both sides, or at a word's start before two letters.
+_MARKED = re.compile(rb"s[^ ]*|1(?:(?<=a1)1*a|(?<= 1)1*aa)")
+#: Marks and doubled letters outside ASCII: rare, so texts that hold one are searched with the slower pattern.
+_WIDE_MARKS = re.compile("[" + re.escape("".join(c for c in (*SIGNS, *BETWEEN) if ord(c) >= 128)) + r"]|([^\W\d_\x00-\x7f])\1")
 
 
 def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -82,8 +84,8 @@ def _symbol_counts(raw: bytes) -> np.ndarray:
     return n
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each character what it may have been, with its cost: a letter, or nothing."""
+def lattice(word: str, repeats: bool = True) -> list[list[tuple[str, float]]]:
+    """For each character what it may have been, with its cost: a letter, or nothing. Without `repeats`, doubled characters stay."""
     out: list[list[tuple[str, float]]] = []
     w = word.lower()
     for i, c in enumerate(w):
@@ -93,16 +95,16 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0)])
         else:
             out.append([("", SEPARATOR if c in BETWEEN else LOST)])
-        if i and c == w[i - 1] and out[-1][0][0]:
+        if repeats and i and c == w[i - 1] and out[-1][0][0]:
             out[-1].append(("", REPEAT))
     return out
 
 
-def decode(word: str, model: np.ndarray) -> str:
+def decode(word: str, model: np.ndarray, repeats: bool = True) -> str:
     """The likeliest plain word: Viterbi over the lattice, the state being the last two symbols."""
     symbol = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in lattice(word):
+    for options in lattice(word, repeats):
         now: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in best.items():
             for c, cost in options:
@@ -122,6 +124,14 @@ def decode(word: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def readings(word: str, model: np.ndarray) -> tuple[bytes, ...]:
+    """The likeliest plain word, and where characters are doubled, the likeliest that keeps them so."""
+    best, low = decode(word, model), word.lower()
+    if not any(a == b for a, b in zip(low, low[1:], strict=False)):
+        return (best.encode(),)
+    return best.encode(), (low if low.isalpha() else decode(word, model, False)).encode()
+
+
 @dataclass(frozen=True)
 class Model:
     chars: np.ndarray
@@ -130,8 +140,8 @@ class Model:
 
     def __post_init__(self):
         put = lambda k, v: object.__setattr__(self, k, v)
-        put("restored", lru_cache(maxsize=50_000)(lambda w: decode(w, self.chars)))
-        put("whole", tuple(w for w in self.words if w[0] != MANY[0] and w[0] != START[0]))
+        put("restored", lru_cache(maxsize=50_000)(lambda w: readings(w, self.chars)))
+        put("whole", frozenset(w for w in self.words if w[0] != MANY[0] and w[0] != START[0]))
         put("starts", frozenset(w.lstrip(MANY + START)[: STEMS[0]] for w in self.words if w[0] in MANY + START))
 
     def __reduce__(self):
@@ -139,11 +149,12 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """Each feature of the lexicon that the text has is a cause of its own: noisy or."""
-        words = words_of(text or "", self.restored, self.whole)
-        found = self.words.keys() & words
+        words, read = words_of(text or "", self.restored, self.whole)
+        found = self.words.keys() & words.union(*(new for _, new in read))
         stems = [w for w in words if w[: STEMS[0]] in self.starts]
+        also = [(w, some) for w, new in read if (some := {x for x in new if x[: STEMS[0]] in self.starts})]
         clean = 1 - self.base
-        for w in sorted(found | (self.words.keys() & beginnings(stems)) if stems else found):
+        for w in sorted(found | (self.words.keys() & beginnings(stems, also)) if stems or also else found):
             clean *= 1 - self.words[w]
         return 1 - clean
 
@@ -152,48 +163,57 @@ class Model:
 START, MANY = b"^", b"+"
 
 
-def suspects(text: str) -> tuple[list[str], list[str]]:
-    """Words with a mark of disguise, or a letter of a-z three times, and runs of four or more single characters, drawn together."""
+def suspects(text: str, split: list[str]) -> tuple[list[str], list[str]]:
+    """Words with a sign, a separator between letters or a doubled letter, and runs of single characters, drawn together. split: the text's words."""
     raw = b" " + text.encode() + b" "
     kinds, low = raw.translate(_KINDS), np.frombuffer(raw.translate(_LETTERS), np.uint8)
     at = [m.start() for m in _MARKED.finditer(kinds)]
-    same = low[1:] == low[:-1]
-    at += np.flatnonzero(same[1:] & same[:-1] & (low[2:] > 32) & (low[2:] < 128)).tolist()
+    at += np.flatnonzero((low[1:] == low[:-1]) & (low[1:] > 32) & (low[1:] < 128)).tolist()
     words = {(kinds.rfind(b" ", 0, i + 1) + 1, kinds.find(b" ", i + 1)) for i in at}
-    found = [raw[lo:hi].decode() for lo, hi in sorted(words)]
-    if _WIDE_MARKS.search(text):
-        found += [w for w in text.split() if _WIDE_MARKS.search(w)]
-    spaced, full = [], raw.translate(_FULL)
-    i = full.find(b" x x x x ")
-    while i >= 0:
-        end = i + 8
-        while full[end + 1 : end + 3] == b"x ":
-            end += 2
-        spaced.append(raw[i:end].translate(None, b" \t\n\r\x0b\x0c").decode())
-        i = full.find(b" x x x x ", end)
-    return found, spaced
-
-
-def words_of(text: str, restore, whole: tuple[bytes, ...] = ()) -> set[bytes]:
-    """The distinct words of a text, A-Z in lower case, as they are and restored. In runs of single characters, words of the lexicon are looked for anywhere."""
-    words = set(text.encode().translate(_LETTERS).split())
-    disguised, spaced = suspects(text)
-    words |= {restore(w).encode() for w in disguised}
-    for w in spaced:
-        r = restore(w).encode()
-        words |= {r, *(x for x in whole if len(x) > 3 and x in r)}
-    return words
-
-
-def beginnings(words) -> set[bytes]:
-    """Of distinct words: their beginnings, and again those that two or more of them have."""
+    found = {raw[lo:hi] for lo, hi in words}
+    out = [w.decode() for w in sorted(found)]
+    if not text.isascii() and _WIDE_MARKS.search(text.lower()):
+        out += [w for w in split if not w.isascii() and _WIDE_MARKS.search(w.lower()) and w.encode() not in found]
+    spaced, run, last = [], [], -2
+    for i in [i for i, w in enumerate(split) if len(w) == 1]:
+        if i != last + 1:
+            spaced.append("".join(run))
+            run = []
+        run.append(split[i])
+        last = i
+    spaced.append("".join(run))
+    return out, [w for w in spaced if len(w) > 1]
+
+
+def words_of(text: str, restore, whole: frozenset[bytes] = frozenset()) -> tuple[set[bytes], list[tuple[bytes, set[bytes]]]]:
+    """The distinct words of a text, A-Z in lower case, and for each suspect word what it reads as besides. In runs of single characters, words of the lexicon are looked for anywhere, and among any two words in a row drawn together."""
+    plain = text.encode().translate(_LETTERS).split()
+    words = set(plain)
+    if whole:
+        words |= {w for w in map(bytes.__add__, plain, plain[1:]) if len(w) > 3} & whole
+    disguised, spaced = suspects(text, text.split())
+    read, seen = [], set(words)
+    for i, w in enumerate(disguised + spaced):
+        readings = set(restore(w))
+        if i >= len(disguised):
+            readings.update(x for x in whole if len(x) > 3 and any(x in r for r in readings))
+        if new := readings - seen:
+            seen |= new
+            read.append((w.encode().translate(_LETTERS), new))
+    return words, read
+
+
+def beginnings(words, read=()) -> set[bytes]:
+    """Of distinct words: their beginnings, and again those that two or more of them have. The readings of one word count once, and not where it begins so itself."""
     n = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+    for word, new in read:
+        n.update({w[:k] for w in new for k in STEMS if len(w) > k} - {word[:k] for k in STEMS if len(word) > k})
     return {START + w for w in n} | {MANY + w for w, m in n.items() if m > 1}
 
 
 def features(text: str, restore) -> set[bytes]:
-    words = words_of(text, restore)
-    return words | beginnings(words)
+    words, read = words_of(text, restore)
+    return words.union(*(new for _, new in read)) | beginnings(words, read)
 
 
 def _sampled(labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
@@ -213,29 +233,30 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = char_counts(docs, text)
     chars = char_model(counts)
 
-    def tally(batches: Iterator[pa.RecordBatch], only: frozenset | None = None) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, n, keep = Model(chars, {}), Counter(), 0
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
         for batch in batches:
             for t in batch.column(0):
-                f = features(t.as_py(), model.restored)
-                n.update(f if only is None else f & only)
+                n.update(features(t.as_py(), model.restored) - {b""})
                 keep += 1
+                if len(n) > KEPT_FEATURES:
+                    yield give()
+                    n.clear()
         n[b""] = keep
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+        yield give()
 
-    added = lambda df: df.groupBy("word").agg(F.sum("n").alias("n"))
-    toxic = rows.filter("_toxic = 1")
-    seen = settled(added(_one_of_each(toxic).select("_text").mapInArrow(tally, "word binary, n long")))
-    n_toxic = sum(r["n"] for r in seen.filter(F.col("word") == F.lit(b"")).collect())
+    counted = lambda df: settled(df.mapInArrow(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    seen, other = counted(_one_of_each(rows.filter("_toxic = 1")).select("_text")), counted(rows.filter("_toxic <> 1").select("_text"))
+    texts = lambda df: sum(r["n"] for r in df.filter(F.col("word") == F.lit(b"")).collect())
+    n_toxic, n_clean = texts(seen), texts(other)
     least = max(4, n_toxic // 200)
-    bad = {bytes(r["word"]): r["n"] for r in seen.filter((F.col("n") >= least) & (F.col("word") != F.lit(b""))).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()}
-    only = frozenset(bad)
-    clean = rows.filter("_toxic <> 1").select("_text")
-    good = {bytes(r["word"]): r["n"] for r in added(clean.mapInArrow(lambda b: tally(b, only), "word binary, n long")).collect()}
-    rate = n_toxic / max(1, n_toxic + good.pop(b"", 0))
+    rate = n_toxic / max(1, n_toxic + n_clean)
     doubt = min(1.0, n_toxic / 150)  # rows that might be clean and have the feature, though none was seen
-    chance = {w: n / (n + good.get(w, 0) + doubt) for w, n in bad.items() if n >= MARKS * (good.get(w, 0) + doubt)}
-    lexicon = dict(sorted(chance.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+    bad = seen.filter((F.col("n") >= least) & (F.col("word") != F.lit(b""))).join(other.withColumnRenamed("n", "good"), "word", "left")
+    against = F.coalesce("good", F.lit(0)) + F.lit(doubt)
+    marks = bad.filter(F.col("n") >= MARKS * against).withColumn("chance", F.col("n") / (F.col("n") + against))
+    lexicon = {bytes(r["word"]): r["chance"] for r in marks.orderBy(F.desc("chance"), "word").limit(ENTRIES).collect()}
     whole = tuple(w.decode("utf-8", "ignore") for w in lexicon if w[:1] not in (START, MANY))
     return Model(char_model(counts, whole), lexicon, min(0.2, max(0.005, rate / 10)))
 
