@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +17,14 @@ def remainder(key: str | Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own if all of Spark is in this process, as in tests; on a cluster, an error."""
     sc = spark.sparkContext
-    at = sc.getCheckpointDir()
-    if at is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanscan-"))
-        at = sc.getCheckpointDir()
-    return at
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanscan-"))
+    return sc.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -32,13 +35,16 @@ def settled(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """As `settled`, as a Parquet table: later readers take only the columns they need."""
-    import uuid
-
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """row (a struct of all columns, so that no name of theirs meets one of ours) and place, a number; written once, so that all readers see the same numbers."""
+    return written(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place")), "numbered")
+
+
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """Two columns that tell rows apart; repeated rows share them, and null ids are told apart by their text."""
     return F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")).alias("_id"), F.xxhash64(text_col).alias("_text_hash")

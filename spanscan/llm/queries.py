@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, linededup, lm, media, secrets, sharding, simhash, toxicity
-from .common import remainder, settled
+from .common import remainder, shared_folder
 
 SHARD_BYTES = 1 << 20
 MIN_SITES = 10
@@ -31,9 +32,14 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over a stored ledger: one with the base rules, and one with all, which scans for the added ones alone."""
     docs = _table(spark, sf_dir, "documents")
-    findings, _ = secrets.scan(docs)
-    return secrets.located(docs, findings, ["doc_id"]).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    ledger = secrets.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.run(docs, secrets.BASE)
+    ledger.run(docs, secrets.RULES)
+    found = secrets.located(docs, ledger.findings, ["doc_id"])
+    base = secrets.joined("spans", tuple(r.kind for r in secrets.BASE))
+    return found.select("version.doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"), secrets.joined("spans").alias("spans"), *[f"n_{r.kind}" for r in secrets.ADDED])
 
 
 def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +89,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_extendible_sharding, op2_secret_ledger, op3_iso_media, op4_toxicity, op5_simhash, op6_decontaminate, op7_language, op8_bpe, op9_boilerplate_lines, op10_brown_lm)
 }
 
+
+
+def _secrets_sql() -> str:
+    """The base rules as the contract has them, and the added ones by their patterns."""
+    base = [
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    ]
+    rules = [*base, *((r.kind, r.pattern, r.group, r.least) for r in secrets.ADDED)]
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    one = lambda k, kind, p, g, least: f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, {quoted(p)}, 0) AS ms, regexp_extract_all(t, {quoted(p)}, {g}) AS gs, string_split_regex(t, {quoted(p)}) AS ps FROM t"
+    added = ", ".join(f"count(*) FILTER (k = {3 + i}) AS n_{r.kind}" for i, r in enumerate(secrets.ADDED))
+    zero = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secrets.ADDED)
+    span = "kind || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT"
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS ({" UNION ALL ".join(one(k, *r) for k, r in enumerate(rules))}),
+        e AS (SELECT doc_id, k, kind, least, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(ps[1:len(ms)]) AS p FROM m WHERE len(ms) > 0),
+        s AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM e),
+        j AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, {added},
+                     string_agg({span}, ',' ORDER BY stop - length(m), k) AS spans, string_agg({span}, ',' ORDER BY stop - length(m), k) FILTER (k < 3) AS base
+              FROM s WHERE length(g) >= least GROUP BY doc_id)
+        SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, {zero}
+        FROM t LEFT JOIN j USING (doc_id)"""
+
+
 SQL = {
     "op1_extendible_sharding": f"""
         WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM documents),
@@ -91,20 +123,7 @@ SQL = {
                  WHERE (c.s <= {SHARD_BYTES} OR c.n = 1) AND (c.d = 0 OR (a.s > {SHARD_BYTES} AND a.n > 1)))
         SELECT doc_id, n_bytes, substr(lpad(bin(h), 32, '0'), 1, d::INT) AS shard, d::INT AS depth, s AS shard_bytes, s > {SHARD_BYTES} AS oversized
         FROM r JOIN leaf ON h >> (32 - d) = p""",
-    "op2_secret_ledger": r"""
-        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        m AS (
-            SELECT doc_id, 0 AS k, 'assign' AS kind, regexp_extract_all(t, p, 0) AS ms, regexp_extract_all(t, p, 2) AS gs, string_split_regex(t, p) AS ps, 6 AS least
-            FROM t, (SELECT '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p)
-            UNION ALL SELECT doc_id, 1, 'access', regexp_extract_all(t, p, 0), regexp_extract_all(t, p, 0), string_split_regex(t, p), 20 FROM t, (SELECT 'AKIA[A-Z0-9]+' AS p)
-            UNION ALL SELECT doc_id, 2, 'hex', regexp_extract_all(t, p, 0), regexp_extract_all(t, p, 0), string_split_regex(t, p), 24 FROM t, (SELECT '[0-9a-f]+' AS p)),
-        e AS (SELECT doc_id, k, kind, least, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(ps[1:len(ms)]) AS p FROM m WHERE len(ms) > 0),
-        s AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM e),
-        j AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
-                     string_agg(kind || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop - length(m), k) AS spans
-              FROM s WHERE length(g) >= least GROUP BY doc_id)
-        SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
-        FROM t LEFT JOIN j USING (doc_id)""",
+    "op2_secret_ledger": _secrets_sql(),
     "op9_boilerplate_lines": f"""
         WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
         b AS (SELECT line, min(doc_id) AS first FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
