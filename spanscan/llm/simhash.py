@@ -5,7 +5,9 @@ parts: seen from any vantage point, they then lie at the same distance in that p
 leaves one branch, and the part's bits (its distances from 0 and from the unit words) name the shard. A shard that is
 still large is split again and again by the median distance from a vantage point of its own, now over all 64 bits:
 the inner side takes what lies within median + radius, the outer what lies beyond the median, so that both ends of
-any link meet on some side (the overlap at the boundary). Inside a shard a local tree goes on by the same rule, and
+any link meet on some side (the overlap at the boundary). Where that hardly helps, as among points all about as far
+from each other, the shard is split like the whole was: by parts of the bits that its points don't share yet, one of
+which any link's two ends have in common, until it fits or no bits are left. Inside a shard a local tree goes on by the same rule, and
 its leaves compare exactly. Shards give links to one representative each, never all pairs, and connected components
 are found on those links.
 """
@@ -21,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, written
+from .common import numbered, settled
 
 BITS = 64
 #: A shard of more fingerprints than this is split in Spark; a leaf of this many is compared pair by pair.
 SHARD, LEAF = 20_000, 512
-#: A split that leaves the larger side over this share of the shard won't be repeated: its fingerprints lie too close together.
-WORTH = 0.9
+#: A split by distance that leaves the larger side over this share of the shard isn't used: the shard is split by parts.
+WORTH = 0.7
 
 
 def fingerprint_bytes(text: bytes, width: int = 3) -> int:
@@ -110,41 +112,54 @@ def _components(keys: np.ndarray, fps: np.ndarray, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
 
-def _parts(radius: int) -> list[tuple[int, int]]:
-    """First bit and width of each of radius + 1 parts."""
-    cuts = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+def _parts(mask: int, radius: int) -> list[int]:
+    """The bits of a mask in radius + 1 parts, as masks; fewer where it has fewer bits."""
+    bits = [b for b in range(BITS) if mask >> b & 1]
+    cuts = [round(i * len(bits) / (radius + 1)) for i in range(radius + 2)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _by_parts(shards: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """shards (shard, mask, fp) dealt out by what each fingerprint has in the parts of the bits of its shard's mask, which go from the mask."""
+    one = lambda m, p: F.struct(F.concat("shard", F.lit(f"{p:x}="), F.col("fp").bitwiseAND(F.lit(_signed(p))).cast("string"), F.lit("/")).alias("shard"), F.lit(_signed(m & ~p)).alias("mask"))
+    dealt = F.coalesce(*[F.when(F.col("mask") == _signed(m), F.array(*[one(m, p) for p in _parts(m, radius)])) for m in masks])
+    return shards.select("fp", F.explode(dealt).alias("s")).select("s.shard", "s.mask", "fp")
 
 
 def _split(shards: DataFrame, radius: int, most: int) -> DataFrame:
-    """shards (shard, fp) with those of over `most` rows split by distance from a vantage point, as long as it helps."""
-    done, large = None, None
+    """shards (shard, mask: the bits that its points may not share, fp), those of over `most` rows split until they fit or share all bits."""
+    done, large = None, shards
     while True:
-        sizes = (shards if large is None else large).groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage"))
-        over = sizes.filter(F.col("n") > most)
-        if large is None and over.isEmpty():
-            return shards
-        over = settled(over)
-        rows = shards if large is None else large
-        small = rows.join(F.broadcast(over.select("shard")) if over.count() <= 10_000 else over.select("shard"), "shard", "left_anti")
+        sizes = large.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage"), F.min("mask").alias("m")).filter((F.col("n") > most) & (F.col("m") != 0))
+        over = settled(sizes.drop("m"))
+        if over.isEmpty():
+            return large if done is None else done.unionByName(large)
+        few = over.count() <= 10_000
+        small = large.join(F.broadcast(over.select("shard")) if few else over.select("shard"), "shard", "left_anti")
         done = small if done is None else done.unionByName(small)
-        seen = rows.join(over, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
+        seen = settled(large.join(F.broadcast(over) if few else over, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))))
         middle = seen.groupBy("shard").agg(F.percentile_approx("d", 0.5).alias("middle"))
-        sides = F.array_compact(F.array(F.when(F.col("d") <= F.col("middle") + radius, "i"), F.when(F.col("d") > F.col("middle"), "o")))
-        cut = settled(seen.join(middle, "shard").select("shard", "n", "fp", F.explode(sides).alias("side")))
-        worse = cut.groupBy("shard", "side").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("shard").agg((F.max("m") > WORTH * F.max("n")).alias("stuck"))
-        cut = settled(cut.join(worse, "shard"))
-        kept = cut.filter("stuck").select("shard", "fp").distinct()
-        done = done.unionByName(kept)
-        large = cut.filter("not stuck").select(F.concat("shard", "side").alias("shard"), "fp")
-        if large.isEmpty():
-            return done
+        inner, outer = F.col("d") <= F.col("middle") + radius, F.col("d") > F.col("middle")
+        placed = seen.join(F.broadcast(middle) if few else middle, "shard")
+        larger = placed.groupBy("shard").agg(F.greatest(F.count_if(inner), F.count_if(outer)).alias("larger"), F.count("*").alias("n"))
+        stuck = larger.select("shard", (F.col("larger") > WORTH * F.col("n")).alias("stuck"))
+        placed = settled(placed.join(F.broadcast(stuck) if few else stuck, "shard").select("shard", "mask", "fp", "stuck", F.array_compact(F.array(F.when(inner, "i"), F.when(outer, "o"))).alias("sides")))
+        large = placed.filter("not stuck").select(F.explode("sides").alias("side"), "shard", "mask", "fp").select(F.concat("shard", "side").alias("shard"), "mask", "fp")
+        by_parts = placed.filter("stuck").select("shard", "mask", "fp")
+        masks = [r["mask"] % (1 << BITS) for r in by_parts.select("mask").distinct().collect()]  # (radius + 1) ** depth at most
+        if masks:
+            large = large.unionByName(_by_parts(by_parts, masks, radius))
+        large = settled(large)
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """a, b: links among the distinct values of `fp` that connect exactly what pairs within the radius connect."""
-    of = [F.concat(F.lit(f"{i}:"), F.shiftright("fp", lo).bitwiseAND(F.lit((1 << w) - 1)).cast("string"), F.lit(":")) for i, (lo, w) in enumerate(_parts(radius))]
-    shards = _split(settled(fps.select(F.explode(F.array(*of)).alias("shard"), "fp")), radius, SHARD)
+    whole = fps.select(F.lit("").alias("shard"), F.lit(_signed((1 << BITS) - 1)).alias("mask"), "fp")
+    shards = _split(settled(_by_parts(whole, [(1 << BITS) - 1], radius)), radius, SHARD).select("shard", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.Table] = []
@@ -190,26 +205,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def _named(of: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id of the distinct fingerprints of `of` (key, fp), kept."""
+    distinct = settled(of.groupBy("fp").agg(F.min("key").alias("least")))
+    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    rooted = settled(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return settled(rooted.join(ids, "root").select("fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp (long), component_id: the smallest key reachable over links of `radius` or fewer differing bits.
 
     Null and wordless texts have the fingerprint zero and link like any other. Repeated rows stay, with one component.
-    A component all of whose keys are null has a null id. An empty table gives no rows.
+    A component all of whose keys are null has a null id. An empty table gives no rows. Only the key and the text are
+    read, so other columns may have any names.
     """
     of = settled(docs.select(F.col(key).alias("key"), fingerprint(text, width).alias("fp")))
-    distinct = settled(of.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    rooted = settled(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settled(rooted.join(ids, "root").select("fp", "component_id"))
-    return of.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return of.join(_named(of, radius), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one row of each component: the one with the smallest key, of repeated rows the first.
 
-    The numbered rows are written once, so both sides of the join have the same numbers.
+    A null key is smaller than all others. Null and wordless texts are one component. An empty table gives no rows.
+    Columns may have any names. The numbered rows are written once, so both sides of the join have the same numbers.
     """
-    numbered = written(docs.withColumn("__place", F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("place"))), "numbered")
-    kept = near_duplicates(numbered, radius, width, "__place", text).filter(F.col("__place") == F.col("component_id")).select("__place")
-    return numbered.join(kept, "__place", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    of = settled(rows.select(F.struct(F.col(f"row.`{key}`").alias("key"), "place").alias("key"), fingerprint(F.col(f"row.`{text}`"), width).alias("fp")))
+    kept = _named(of, radius).select("component_id.place").distinct()
+    return rows.join(kept, "place", "left_semi").select("row.*")
