@@ -63,7 +63,12 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model from all rows with a label. No such rows: a model without languages, which calls every text unknown."""
+    """A model from all rows with a label. No such rows: a model without languages, which calls every text unknown.
+
+    Null texts and null labels aren't learned from; repeated rows count as they come; texts are read whole. Only the two
+    columns are read, so others may have any names. The model is as large as there are distinct labels, so labels have
+    to be names of languages, not free text.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -74,8 +79,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([list(v) for v in sums.values()], pa.list_(pa.int64()))], ["lang", "counts"])
 
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    summed = labelled.mapInArrow(count, "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("bucket", "n")).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = summed.filter("n > 0").toPandas()
+    summed = labelled.mapInArrow(count, "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("bucket", "n")).filter("n > 0").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = summed.toPandas()  # BUCKETS rows for each language at most
     langs = tuple(sorted(rows["lang"].unique()))
     counts = np.zeros((len(langs), BUCKETS))
     counts[[langs.index(x) for x in rows["lang"]], rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(float)

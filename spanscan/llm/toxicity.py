@@ -28,8 +28,10 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 BETWEEN = ".-_*~'`,:;/\\^#=​‌‍­"
 #: Costs in nats of a sign for a letter, a separator left out, a repeated letter left out, and a sign left out.
 SIGN, SEPARATOR, REPEAT, LOST = 1.0, 0.3, 1.2, 6.0
-#: Labelled rows that the lexicon is fitted on at most, by the order of a hash of their id; lexicon entries at most.
-SAMPLE, ENTRIES = 20_000, 2_000
+#: Labelled rows that the lexicon is fitted on at most, by the order of a hash of their id.
+SAMPLE = 20_000
+#: Toxic rows that a feature of the lexicon is in at least: so many, and this share of them.
+LEAST, LEAST_SHARE = 4, 0.005
 #: Features that a task counts before it gives the counts away.
 KEPT_FEATURES = 200_000
 #: Toxic rows for each clean one that a feature of the lexicon has, at least.
@@ -226,7 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A model: the character model from all of `docs`, the lexicon from those with a label (`sample` of them at most).
 
     Of near copies among the toxic rows one counts, so that what a much copied text happens to say doesn't count as a
-    mark. The lexicon has the features that many toxic rows have for each clean one.
+    mark. The lexicon has the features that many toxic rows have for each clean one, all of them.
+
+    Null texts and rows with a null key or label aren't learned from. Ids may be of any type that both tables share.
+    An id with several labels is toxic if one of them is 1; repeated rows of docs count as they come. With no labels or
+    no documents the lexicon is empty and every text scores the base rate. Other columns may have any names.
     """
     chosen = settled(_sampled(labels, key, label, sample))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_label_key")).filter("_text is not null")
@@ -250,29 +256,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     seen, other = counted(_one_of_each(rows.filter("_toxic = 1")).select("_text")), counted(rows.filter("_toxic <> 1").select("_text"))
     texts = lambda df: sum(r["n"] for r in df.filter(F.col("word") == F.lit(b"")).collect())
     n_toxic, n_clean = texts(seen), texts(other)
-    least = max(4, n_toxic // 200)
+    least = max(LEAST, int(n_toxic * LEAST_SHARE))
     rate = n_toxic / max(1, n_toxic + n_clean)
     doubt = min(1.0, n_toxic / 150)  # rows that might be clean and have the feature, though none was seen
     bad = seen.filter((F.col("n") >= least) & (F.col("word") != F.lit(b""))).join(other.withColumnRenamed("n", "good"), "word", "left")
     against = F.coalesce("good", F.lit(0)) + F.lit(doubt)
     marks = bad.filter(F.col("n") >= MARKS * against).withColumn("chance", F.col("n") / (F.col("n") + against))
-    lexicon = {bytes(r["word"]): r["chance"] for r in marks.orderBy(F.desc("chance"), "word").limit(ENTRIES).collect()}
+    lexicon = {bytes(r["word"]): r["chance"] for r in marks.select("word", "chance").collect()}  # features of the bounded sample's toxic rows
     whole = tuple(w.decode("utf-8", "ignore") for w in lexicon if w[:1] not in (START, MANY))
     return Model(char_model(counts, whole), lexicon, min(0.2, max(0.005, rate / 10)))
 
 
 def _one_of_each(rows: DataFrame) -> DataFrame:
-    """The rows of the bounded sample without near copies: fingerprints of 64 bits, 20,000 at most, are compared on the driver."""
-    fps: dict[int, int] = {}
-    for k, fp in rows.select("_key", simhash.fingerprint("_text")).collect():
-        fps[fp % (1 << 64)] = min(k, fps.get(fp % (1 << 64), k))
-    copies = {x for x, _ in simhash._linked(np.array(sorted(fps), np.uint64), 3)}
-    kept = rows.sparkSession.createDataFrame([(k,) for fp, k in fps.items() if fp not in copies], "_kept long")
-    return rows.join(F.broadcast(kept), F.col("_key") == F.col("_kept"), "left_semi")
+    """The rows of the bounded sample without near copies: a fingerprint for each labelled id, `sample` of them at most, is compared on the driver."""
+    each = settled(rows.groupBy("_label_key").agg(F.min("_text").alias("_text")).select("_label_key", "_text", simhash.fingerprint("_text").alias("_fp")))
+    first = settled(each.groupBy("_fp").agg(F.min("_label_key").alias("_first")))
+    fps = np.array(sorted(r["_fp"] % (1 << 64) for r in first.select("_fp").collect()), np.uint64)
+    copies = {x - (1 << 64) if x >> 63 else x for x, _ in simhash._linked(fps, 3)}
+    kept = first.filter(~F.col("_fp").isin(list(copies))) if copies else first
+    return each.join(F.broadcast(kept.select("_first")), F.col("_label_key") == F.col("_first"), "left_semi")
 
 
 def score(text: str | Column, model: Model) -> Column:
-    """The chance, 0 to 1, that a text is toxic. Null counts as empty, and empty texts have the least."""
+    """The chance, 0 to 1, that a text is toxic. Null counts as empty, and empty texts have the least. Texts are read whole; equal texts score alike."""
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
