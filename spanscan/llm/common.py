@@ -34,9 +34,9 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As `settled`, as a Parquet table: later readers take only the columns they need."""
+    """As `settled`, as a Parquet table, packed more tightly than by default: later readers take only the columns they need."""
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
