@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cyrillic and Greek letters that look like Latin ones, and the Latin ones; characters that don't show; digits and signs read as letters.
-LOOKALIKES = ("аеорсухіјѕАВЕКМНОРСТХαοεν", "aeopcyxijsABEKMHOPCTXaoev")
-INVISIBLE = "​‌‍﻿⁠­"
+from .spans import let
+
+#: Cyrillic, Greek and fullwidth letters that look like Latin ones, and the Latin ones; characters that don't show; digits and signs read as letters.
+LOOKALIKES = ("аеорсухАЕОРСТНВМ" + "αεορΑΕΟΡ" + "ａｂｃｄｅｉｏｐｓｔ" + "іјѕКХν", "aeopcyxAEOPCTHBM" + "aeopAEOP" + "abcdeiopst" + "ijsKXv")
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u2060\u00ad"
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+#: Four or more single letters with one white space between each two.
+SPLIT = r"\b[A-Za-z](?:\s[A-Za-z]){3,}"
 #: Fixed values of the anomaly score: bounds on entropy in bits, the least lengths, the scale.
 HIGH, LOW, SHORTEST, LOW_LENGTH, SCALE = 5.5, 2.5, 32, 100, 2.0
 
@@ -34,11 +38,15 @@ def plain_leet(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of a text's characters in bits; 0 for empty texts. Each distinct character is counted by what is left without it."""
-    n = F.length(text).cast("double")
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(kinds, F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c))))
+    """Shannon entropy of a text's characters in bits; 0 for empty texts. The characters are sorted once, and runs of equal ones are counted by where they start."""
+
+    def bits(c: Column) -> Column:
+        n = F.size(c)
+        first = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(c, i) != F.get(c, i - 1)))
+        share = lambda f: F.transform(F.slice(f, 2, F.size(f)), lambda x, j: (x - F.get(f, j)) / n.cast("double"))
+        return let(first, lambda f: F.aggregate(share(f), F.lit(0.0), lambda s, p: s - p * F.log2(p)))
+
+    return F.when(F.length(text) == 0, 0.0).otherwise(let(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), bits))
 
 
 def anomaly(bits: Column, length: Column) -> Column:
@@ -64,36 +72,44 @@ def luhn(number: Column, least: int = 12, most: int = 19) -> Column:
     return F.coalesce(F.when(shape, _luhn_sum(d) % 10 == 0), F.lit(False))
 
 
+def _varied(digits: Column) -> Column:
+    return ~digits.rlike(r"^(.)\1*$")
+
+
 def siren(number: Column) -> Column:
-    """French company numbers: nine digits with a right check digit."""
-    return F.coalesce(F.when(number.rlike("^[0-9]{9}$"), _luhn_sum(number) % 10 == 0), F.lit(False))
+    """French company numbers, spaces aside: nine digits, not all the same, with a right check digit."""
+    d = F.regexp_replace(number, r"\s", "")
+    return F.coalesce(F.when(d.rlike("^[0-9]{9}$") & _varied(d), _luhn_sum(d) % 10 == 0), F.lit(False))
 
 
 def ssn(number: Column) -> Column:
-    """US social security numbers AAA-GG-SSSS: area not 000, 666 or from 900 on, group not 00, serial not 0000."""
-    area, group, serial = F.substring(number, 1, 3), F.substring(number, 5, 2), F.substring(number, 8, 4)
-    return F.coalesce(number.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~area.isin("000", "666") & ~area.startswith("9") & (group != "00") & (serial != "0000"), F.lit(False))
+    """US social security numbers, with dashes or without: area not 000, 666 or from 900 on, group not 00, serial not 0000."""
+    d = F.replace(number, F.lit("-"), F.lit(""))
+    area, group, serial = F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 4)
+    return F.coalesce(number.rlike("^[0-9]{3}-?[0-9]{2}-?[0-9]{4}$") & ~area.isin("000", "666") & ~area.startswith("9") & (group != "00") & (serial != "0000"), F.lit(False))
 
 
 def nhs(number: Column) -> Column:
-    """UK health numbers: nine digits weighed 10 to 2, and what completes their sum to a multiple of 11."""
-    d = F.transform(F.filter(F.split(number, ""), lambda c: c != ""), _digit)
+    """UK health numbers, spaces and dashes aside: nine digits weighed 10 to 2, and what completes their sum to a multiple of 11; not all the same."""
+    plain = F.regexp_replace(number, r"[\s-]", "")
+    d = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), _digit)
     total = F.aggregate(F.transform(F.slice(d, 1, 9), lambda x, i: x * (F.lit(10) - i)), F.lit(0), lambda s, x: s + x)
     check = (F.lit(11) - total % 11) % 11
-    return F.coalesce(F.when(number.rlike("^[0-9]{10}$"), (check != 10) & (check == F.get(d, F.lit(9)))), F.lit(False))
+    return F.coalesce(F.when(plain.rlike("^[0-9]{10}$") & _varied(plain), (check != 10) & (check == F.get(d, F.lit(9)))), F.lit(False))
 
 
 def iban(number: Column) -> Column:
-    """Bank account numbers, spaces aside: with the first four characters last and letters as 10 to 35, the number leaves 1 when divided by 97."""
-    plain = F.regexp_replace(number, " ", "")
+    """Bank account numbers in either case, spaces aside: with the first four characters last and letters as 10 to 35, the number leaves 1 when divided by 97."""
+    plain = F.upper(F.regexp_replace(number, r"\s", ""))
     chars = F.filter(F.split(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4)), ""), lambda c: c != "")
     step = lambda s, c: F.when(c.rlike("[0-9]"), s * 10 + _digit(c)).otherwise(s * 100 + F.ascii(c) - 55) % 97
     return F.coalesce(F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), F.aggregate(chars, F.lit(0), step) == 1), F.lit(False))
 
 
 def npi(number: Column) -> Column:
-    """US provider numbers: ten digits whose check digit is right after the prefix 80840."""
-    return F.coalesce(F.when(number.rlike("^[0-9]{10}$"), _luhn_sum(F.concat(F.lit("80840"), number)) % 10 == 0), F.lit(False))
+    """US provider numbers, spaces aside: ten digits, not all the same, whose check digit is right after the prefix 80840."""
+    d = F.regexp_replace(number, r"\s", "")
+    return F.coalesce(F.when(d.rlike("^[0-9]{10}$") & _varied(d), _luhn_sum(F.concat(F.lit("80840"), d)) % 10 == 0), F.lit(False))
 
 
 def ipv4(address: Column) -> Column:
@@ -104,9 +120,10 @@ def ipv4(address: Column) -> Column:
 
 
 def nino(number: Column) -> Column:
-    """UK insurance numbers: two letters that are given out, six digits, a letter from A to D."""
-    shape = number.rlike("^[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{6}[A-D]$")
-    return F.coalesce(shape & ~F.substring(number, 1, 2).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ"), F.lit(False))
+    """UK insurance numbers in either case, spaces aside: two letters that are given out, six digits, a letter from A to D."""
+    d = F.upper(F.regexp_replace(number, r"\s", ""))
+    shape = d.rlike("^[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{6}[A-D]$")
+    return F.coalesce(shape & ~F.substring(d, 1, 2).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ"), F.lit(False))
 
 
 def siret(number: Column) -> Column:
@@ -117,20 +134,31 @@ def siret(number: Column) -> Column:
 
 
 def nir(number: Column) -> Column:
-    """French social security numbers, spaces aside: 13 digits and the key 97 less their remainder by 97. In Corsican ones an A counts as 0 less a million, a B as 0 less two."""
+    """French social security numbers, spaces aside: sex, year, month (from 20 on where it isn't known), department, commune, order, and the key.
+
+    The key is 97 less the remainder of the other 13 digits by 97. The departments of Corsica, 2A and 2B, count as 19 and 18.
+    """
     d = F.upper(F.regexp_replace(number, r"\s", ""))
-    body = F.substring(d, 1, 13)
-    less = F.when(body.contains("A"), 1_000_000).when(body.contains("B"), 2_000_000).otherwise(0)
-    digits = F.when(body.contains("A"), F.replace(body, F.lit("A"), F.lit("0"))).otherwise(F.replace(body, F.lit("B"), F.lit("0")))
-    value = F.when(digits.rlike("^[0-9]{13}$"), digits.cast("long")) - less
-    shape = d.rlike("^[12][0-9]{2}(0[1-9]|1[0-2]|20|[3-9][0-9]|[0-9][AB])[0-9][0-9AB][0-9]{8}$")
-    return F.coalesce(F.when(shape, F.lit(97) - value % 97 == F.substring(d, 14, 2).cast("int")), F.lit(False))
+    sex, month, department = F.substring(d, 1, 1), F.substring(d, 4, 2), F.substring(d, 6, 2)
+    as_number = F.when(department == "2A", "19").when(department == "2B", "18").otherwise(department)
+    digits = F.concat(F.substring(d, 1, 5), as_number, F.substring(d, 8, 8))
+    known = month.try_cast("int").between(1, 12) | month.try_cast("int").between(20, 99)
+    key = F.lit(97) - F.substring(digits, 1, 13).try_cast("long") % 97
+    fits = digits.rlike("^[0-9]{15}$") & sex.isin("1", "2") & known
+    return F.coalesce(F.when(fits, key == F.substring(digits, 14, 2).try_cast("int")), F.lit(False))
 
 
 def postcode(code: Column) -> Column:
-    """UK postcodes by their structure."""
-    shape = r"(?i)^(GIR ?0AA|[A-PR-UWYZ]([0-9]{1,2}|[A-HK-Y][0-9]|[A-HK-Y][0-9]([0-9]|[ABEHMNPRV-Y])|[0-9][A-HJKPS-UW]) ?[0-9][ABD-HJLNP-UW-Z]{2})$"
-    return F.coalesce(F.trim(code).rlike(shape), F.lit(False))
+    """UK postcodes by their structure: a district of one of six forms, without the letters that its places don't take, and a unit of a digit and two letters."""
+    c = F.upper(F.trim(code))
+    plain = F.replace(c, F.lit(" "), F.lit(""))
+    district, unit = F.substring(plain, F.lit(1), F.length(plain) - 3), F.right(plain, F.lit(3))
+    form = F.regexp_replace(F.regexp_replace(district, "[A-Z]", "A"), "[0-9]", "9")
+    first, second = F.substring(district, 1, 1), F.substring(district, 2, 1)
+    fits = form.isin("A9", "A99", "AA9", "AA99", "A9A", "AA9A") & ~first.isin(*"QVX") & ~second.isin(*"IJZ")
+    last = F.when(form == "A9A", F.right(district, F.lit(1)).isin(*"ABCDEFGHJKPSTUW")).when(form == "AA9A", F.right(district, F.lit(1)).isin(*"ABEHMNPRVWXY")).otherwise(True)
+    right = unit.rlike("^[0-9][A-Z]{2}$") & ~unit.rlike("[CIKMOV]")
+    return F.coalesce(c.rlike("^[A-Z0-9]{2,4} ?[A-Z0-9]{3}$") & ((plain == "GIR0AA") | fits & last & right), F.lit(False))
 
 
 def jwt(token: Column) -> Column:
@@ -158,11 +186,15 @@ def generic_secret(value: Column) -> Column:
     return F.coalesce((F.length(value) >= 32) & value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (entropy(value) >= 4.0), F.lit(False))
 
 
+def bits_of_entropy(least: float):
+    """A validator: `least` bits of entropy or more, as random keys have. 4.0 for keys, 3.5 for bearer tokens."""
+    return lambda value: F.coalesce(entropy(value) >= least, F.lit(False))
+
+
 def joined_letters(text: Column) -> Column:
-    """Runs of four or more single letters, a blank between each two, drawn together."""
-    run = r"\b[A-Za-z](?:\s[A-Za-z]){3,}\b"
-    closed = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda m: F.regexp_replace(m, r"\s", ""))
-    pieces = F.zip_with(F.split(text, run, -1), closed, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    """Runs of four or more single letters, a white space between each two, drawn together."""
+    closed = F.transform(F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0)), lambda m: F.regexp_replace(m, r"\s", ""))
+    pieces = F.zip_with(F.split(text, SPLIT, -1), closed, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
     return F.array_join(pieces, "")
 
 

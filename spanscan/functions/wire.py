@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Methods without a body to look at; content types that are looked at; headers of one hop.
+#: Headers of one hop; methods without a body to look at; content types that are looked at.
+HOPS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 BODILESS = ("GET", "HEAD", "DELETE", "OPTIONS", "CONNECT", "TRACE")
 TEXTUAL = ("application/json", "application/x-ndjson", "application/ld+json", "text/")
 #: Brands of still pictures in ISO containers.
@@ -47,6 +48,23 @@ def safe_header(name: Column, value: Column) -> Column:
     return F.coalesce(name.rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+$") & ~value.rlike(r"[\r\n\x00]"), F.lit(False))
 
 
+def hop_by_hop(name: Column) -> Column:
+    """Whether a header is for one hop and isn't passed on."""
+    return F.lower(name).isin(*HOPS)
+
+
+def https_url(url: Column) -> Column:
+    """An https address of a sound host, with a port from 1 to 65535 where it has one."""
+    host, port = F.regexp_extract(url, r"^https://([^/:?#]+)", 1), F.regexp_extract(url, r"^https://[^/:?#]+:([0-9]+)", 1)
+    return F.coalesce(host_name(host) & url.rlike(r"^https://[^/:?#@]+(:[0-9]{1,5})?([/?#]|$)") & ((port == "") | port.try_cast("int").between(1, 65535)), F.lit(False))
+
+
+def connect_target(target: Column) -> Column:
+    """host, port of what a CONNECT request asks for; null where either isn't sound."""
+    host, port = F.regexp_extract(target, r"^(.+):([0-9]{1,5})$", 1), F.regexp_extract(target, r"^(.+):([0-9]{1,5})$", 2).try_cast("int")
+    return F.when(host_name(host) & port.between(1, 65535), F.struct(host.alias("host"), port.alias("port")))
+
+
 def host_name(host: Column) -> Column:
     """Up to 253 characters in labels of up to 63 letters, digits and inner dashes."""
     return F.coalesce((F.length(host) <= 253) & host.rlike(r"^([A-Za-z0-9]|[A-Za-z0-9][A-Za-z0-9-]{0,61}[A-Za-z0-9])(\.([A-Za-z0-9]|[A-Za-z0-9][A-Za-z0-9-]{0,61}[A-Za-z0-9]))*$"), F.lit(False))
@@ -85,5 +103,7 @@ def frames(stream: Column) -> Column:
 def delta_text(frame: Column) -> Column:
     """The text that a frame's `data:` payload adds, whichever provider's shape it has; other payloads as they are, with a space; null for the end marker."""
     data = F.trim(F.regexp_replace(F.regexp_extract(frame, r"(?m)^data:(.*)$", 1), "\r", ""))
-    paths = ("$.choices[0].delta.content", "$.choices[0].delta.reasoning", "$.choices[0].message.content", "$.choices[0].text", "$.delta.text", "$.delta.partial_json", "$.candidates[0].content.parts[0].text")
-    return F.when(data.isin("", "[DONE]"), F.lit(None)).otherwise(F.coalesce(*[F.get_json_object(data, p) for p in paths], F.concat(data, F.lit(" "))))
+    paths = ("$.choices[0].delta.content", "$.choices[0].delta.reasoning", "$.choices[0].message.content", "$.choices[0].text", "$.delta.text", "$.delta.partial_json")
+    parts = F.array_join(F.from_json(F.get_json_object(data, "$.candidates[0].content.parts[*].text"), "array<string>"), "")  # all parts' texts
+    one = F.get_json_object(data, "$.candidates[0].content.parts[0].text")
+    return F.when(data.isin("", "[DONE]"), F.lit(None)).otherwise(F.coalesce(*[F.get_json_object(data, p) for p in paths], parts, one, F.concat(data, F.lit(" "))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanscan import plans
 from spanscan.functions import text as T
 from spanscan.functions import wire
-from spanscan.operators import context, matching, provenance, telemetry
+from spanscan.operators import context, telemetry
 from spanscan.sources.tables import rules
 from spanscan.streaming import reassembly
 
@@ -48,19 +48,19 @@ def one(spark, value, f):
     ("f", "good", "bad"),
     [
         (T.luhn, ["4111 1111 1111 1111", "5500-0000-0000-0004"], ["4111 1111 1111 1112", "0000000000000000", "", None, "abc"]),
-        (T.siren, ["732829320"], ["732829321", "", None]),
-        (T.ssn, ["123-45-6789"], ["000-45-6789", "666-45-6789", "912-45-6789", "123-00-6789", "123-45-0000", "x", None]),
-        (T.iban, ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"], ["GB82WEST12345698765433", "GB82", "", None]),
-        (T.npi, ["1234567893"], ["1234567890", "123", "", None]),
+        (T.siren, ["732829320", "732 829 320"], ["732829321", "000000000", "", None]),
+        (T.ssn, ["123-45-6789", "123456789"], ["000-45-6789", "666-45-6789", "912-45-6789", "123-00-6789", "123-45-0000", "x", None]),
+        (T.iban, ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "gb82west12345698765432"], ["GB82WEST12345698765433", "GB82", "", None]),
+        (T.npi, ["1234567893", "12 3456 7893"], ["1234567890", "1111111111", "123", "", None]),
         (T.ipv4, ["10.0.0.1", "255.255.255.0"], ["0.0.0.0", "255.255.255.255", "256.1.1.1", "1.2.3", "", None]),
-        (T.nino, ["AB123456C"], ["GB123456C", "DA123456C", "AB123456E", "", None]),
+        (T.nino, ["AB123456C", "ab 12 34 56 c"], ["GB123456C", "DA123456C", "AB123456E", "", None]),
         (T.siret, ["732 829 320 00074", "35600000000001"], ["73282932000075", "00000000000000", "35600000000002", "", None]),
-        (T.nir, ["255081416802538", "2 55 08 14 168 025 38"], ["255081416802539", "955081416802538", "", None]),
-        (T.postcode, ["SW1A 1AA", "m1 1ae", " GIR 0AA "], ["QQ1 1AA", "SW1A", "", None]),
+        (T.nir, ["255081416802538", "2 55 08 14 168 025 38", "1850320000001" + f"{97 - 1850320000001 % 97:02d}", "185032A000001" + f"{97 - 1850319000001 % 97:02d}", "285032b000001" + f"{97 - 2850318000001 % 97:02d}"], ["255081416802539", "955081416802538", "255131416802538", "185002A00000111", "", None]),
+        (T.postcode, ["SW1A 1AA", "m1 1ae", " GIR 0AA ", "B33 8TH", "CR2 6XH", "DN55 1PT", "W1A 0AX", "EC1A1BB"], ["QQ1 1AA", "SW1A", "AI1 1AA", "W1I 0AX", "EC1C 1BB", "B33 8TC", "B333 8TH", "SW1A  1AA", "", None]),
         (T.jwt, ["eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln"], ["a.b", "eyJhIjoxfQ.b.c", "eyJhbGciOjF9.b.c", "..", "", None]),
         (T.ipv6, ["fe80::1", "2001:db8:0:0:0:0:0:1", "::ffff"], ["::", "1:2:3:4:5:6:7:8", "1::2::3", "12345::", "x::1", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "", None]),
         (T.generic_secret, ["a8Fk29dLmQ0zXc7VbN3rTy6UiOp1WsEe"], ["a1" * 20, "short1", "", None]),
-        (T.nhs, ["9434765919"], ["9434765918", "", None, "abcdefghij"]),
+        (T.nhs, ["9434765919", "943 476 5919", "943-476-5919"], ["9434765918", "0000000000", "", None, "abcdefghij"]),
     ],
 )
 def test_validators(spark, f, good, bad):
@@ -74,7 +74,7 @@ def test_text_functions(spark):
 
 
 def test_letters_and_wrappers(spark):
-    assert one(spark, "so i g n o r e it, a b c", T.joined_letters) == "so ignore it, a b c"
+    assert one(spark, "so i g n o r e, a b c", T.joined_letters) == "so ignore, a b c" and one(spark, "a b c d efg", T.joined_letters) == "abcdefg"
     assert one(spark, "", T.joined_letters) == "" and one(spark, None, T.joined_letters) is None
     assert one(spark, '<document id="1">a\nb</document> <SEARCH_RESULT>c</SEARCH_RESULT>', T.wrapped) == ["a\nb", "c"]
 
@@ -91,37 +91,15 @@ def test_wire(spark):
     assert one(spark, "x", lambda c: context.even_places(F.lit(10), 4)) == [0, 3, 6, 9] and one(spark, "x", lambda c: context.even_places(F.lit(0), 4)) == []
 
 
-def test_matches_and_scores(spark):
-    rule = (matching.Rule("r", "c", "high", "a b"), matching.Rule("s", "c", "low", "b 😀"))
-    df = spark.createDataFrame([(1, "x a b 😀 a b"), (2, ""), (3, None), (4, "zzz")], "id long, text string")
-    found = matching.find_all(df, rule, "id")
-    assert sorted((r["rule"], r["start"], r["end"]) for r in found.collect()) == [("r", 2, 5), ("r", 8, 11), ("s", 4, 7)]
-    scores = {r["id"]: r for r in matching.scored(df, found, "id").collect()}
-    assert len(scores) == 4 and scores[1]["n_matches"] == 3 and scores[1]["should_block"] and scores[3]["total"] == 0.0
-    assert sorted((r["start"], r["end"], r["n"]) for r in matching.merged(found, "id").collect()) == [(2, 7, 2), (8, 11, 1)]
-    assert [k["rule"] for k in matching.by_priority(found, rule, "id").first()["kept"]] == ["r", "r"]
-    assert one(spark, "at 10.0.0.1 a@b.io", lambda c: matching.redact(c, matching.PII)) == "at [redacted:IPV4] [redacted:EMAIL]"
-
-
-def test_provenance(spark):
-    poison = {"messages": [{"role": "user", "content": [{"type": "tool_result", "content": "bad"}, {"type": "text", "text": "fine"}]}]}
-    df = spark.createDataFrame([(1, json.dumps(poison)), (2, "{broken"), (3, None)], "id long, body string")
-    spans = provenance.spans(df, "id")
-    assert sorted((r["locator"], r["origin"]) for r in spans.collect()) == [("messages[0].content[0].tool_result", "untrusted"), ("messages[0].content[1].text", "principal")]
-    scored = spans.withColumn("score", F.lit(0.9))
-    none, released = (spark.createDataFrame(x, "fingerprint string") for x in ([], []))
-    assert provenance.decisions(scored, none, "id", "s").first()["decision"] == "block"
-    released = spans.select(T.fingerprint(F.col("text"), "s").alias("fingerprint"))
-    assert provenance.decisions(scored, released, "id", "s").first()["decision"] == "flag"
-    assert provenance.decisions(scored, released, "id", "other").first()["decision"] == "block"
-
-
 def test_catalog_and_telemetry(spark, tmp_path):
     at = tmp_path / "rules.json"
     at.write_text(json.dumps([{"id": "a", "category": "c", "severity": "low", "pattern": "x+", "enabled": True}, {"id": "b", "category": "c", "severity": "low", "pattern": "y", "enabled": False}]))
     assert [r.id for r in rules(spark, str(at))] == ["a"]
     at.write_text(json.dumps([{"id": "a", "category": "c", "severity": "low", "pattern": "("}]))
-    with pytest.raises(Exception, match="unterminated"):
+    with pytest.raises(Exception, match="REGEX|regex|Unclosed"):  # Spark's own word on it
+        rules(spark, str(at))
+    at.write_text(json.dumps([{"id": "a", "category": "c", "severity": "low", "pattern": "x*"}]))
+    with pytest.raises(ValueError, match="empty text"):
         rules(spark, str(at))
     df = spark.createDataFrame([("a", 0.5), ("a", 7.0), ("a", 5000.0), ("a", None)], "k string, v double")
     hist = telemetry.cumulative_histogram(df, "k", "v")
@@ -129,6 +107,13 @@ def test_catalog_and_telemetry(spark, tmp_path):
     assert telemetry.histogram_percentile(hist, "k", 0.5).first()["bound"] == 10 and telemetry.histogram_percentile(hist, "k", 0.99).first()["bound"] is None
 
 
+def test_tails_of_long_streams(spark, monkeypatch):
+    monkeypatch.setattr(reassembly, "STRETCH", 4)
+    rows = [("a", i, f"chunk {i} " * (i % 3)) for i in range(50)] + [("b", 0, None), ("b", 1, "x"), ("c", 7, "")]
+    got = {r["s"]: (r["n_chunks"], r["tail"]) for r in reassembly.tails(spark.createDataFrame(rows, "s string, i long, t string"), "s", "i", "t", 60).collect()}
+    assert got == {"a": (50, "".join(t for s, _, t in rows if s == "a")[-60:]), "b": (2, "x"), "c": (1, "")}
+
+
 def test_windows_over_a_stream(spark, tmp_path):
     spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "t string, k string").select(F.col("t").cast("timestamp").alias("ts"), "k").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, k string").parquet(str(tmp_path / "in"))
