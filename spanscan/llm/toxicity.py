@@ -145,13 +145,22 @@ class Model:
         put("restored", lru_cache(maxsize=50_000)(lambda w: readings(w, self.chars)))
         put("whole", frozenset(w for w in self.words if w[0] != MANY[0] and w[0] != START[0]))
         put("starts", frozenset(w.lstrip(MANY + START)[: STEMS[0]] for w in self.words if w[0] in MANY + START))
+        put("single", (frozenset(map(_collapsed, self.whole)), frozenset(map(_collapsed, self.starts))))
 
     def __reduce__(self):
         return Model, (self.chars, self.words, self.base)
 
+    def may_hit(self, word: str) -> bool:
+        """Whether a reading of a word may be in the lexicon. Readings of a word of ASCII letters alone differ in how often letters are repeated, so with repeats taken out, all are the same."""
+        low = word.lower()
+        if not (low.isascii() and low.isalpha()):
+            return True
+        c, (whole, starts) = _collapsed(low.encode()), self.single
+        return c in whole or any(c[:k] in starts for k in range(1, STEMS[0] + 1))
+
     def score(self, text: str | None) -> float:
         """Each feature of the lexicon that the text has is a cause of its own: noisy or."""
-        words, read = words_of(text or "", self.restored, self.whole)
+        words, read = words_of(text or "", self.restored, self.whole, self.may_hit)
         found = self.words.keys() & words.union(*(new for _, new in read))
         stems = [w for w in words if w[: STEMS[0]] in self.starts]
         also = [(w, some) for w, new in read if (some := {x for x in new if x[: STEMS[0]] in self.starts})]
@@ -187,13 +196,19 @@ def suspects(text: str, split: list[str]) -> tuple[list[str], list[str]]:
     return out, [w for w in spaced if len(w) > 1]
 
 
-def words_of(text: str, restore, whole: frozenset[bytes] = frozenset()) -> tuple[set[bytes], list[tuple[bytes, set[bytes]]]]:
+def _collapsed(word: bytes) -> bytes:
+    return re.sub(rb"(.)\1+", rb"\1", word, flags=re.DOTALL)
+
+
+def words_of(text: str, restore, whole: frozenset[bytes] = frozenset(), may_hit=None) -> tuple[set[bytes], list[tuple[bytes, set[bytes]]]]:
     """The distinct words of a text, A-Z in lower case, and for each suspect word what it reads as besides. In runs of single characters, words of the lexicon are looked for anywhere, and among any two words in a row drawn together."""
     plain = text.encode().translate(_LETTERS).split()
     words = set(plain)
     if whole:
         words |= {w for w in map(bytes.__add__, plain, plain[1:]) if len(w) > 3} & whole
     disguised, spaced = suspects(text, text.split())
+    if may_hit:  # words none of whose readings can count aren't decoded
+        disguised = list(filter(may_hit, disguised))
     read, seen = [], set(words)
     for i, w in enumerate(disguised + spaced):
         readings = set(restore(w))
