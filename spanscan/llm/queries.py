@@ -8,23 +8,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, lm, media, secrets, sharding, simhash, toxicity
+from . import bpe, decontam, filteraudit, langid, linededup, lm, media, packing, secrets, sharding, simhash, toxicity
 from .common import remainder, shared_folder
 
 SHARD_BYTES = 1 << 20
 MIN_SITES = 10
 #: The tokenizer's vocabulary file, by its name in public_tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def _vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +85,20 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(_table(spark, sf_dir, "documents"), _vocabulary(WORD_VOCABULARY)).drop("certified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_extendible_sharding, op2_secret_ledger, op3_iso_media, op4_toxicity, op5_simhash, op6_decontaminate, op7_language, op8_bpe, op9_boilerplate_lines, op10_brown_lm)
+    for f in (op1_extendible_sharding, op2_secret_ledger, op3_iso_media, op4_toxicity, op5_simhash, op6_decontaminate, op7_language, op8_bpe, op9_boilerplate_lines, op10_brown_lm, op11_filter_audit, op13_bound_packing)
 }
 
 
-
 def _secrets_sql() -> str:
     """The base rules as the contract has them, and the added ones by their patterns."""
     base = [
@@ -124,6 +132,27 @@ SQL = {
         SELECT doc_id, n_bytes, substr(lpad(bin(h), 32, '0'), 1, d::INT) AS shard, d::INT AS depth, s AS shard_bytes, s > {SHARD_BYTES} AS oversized
         FROM r JOIN leaf ON h >> (32 - d) = p""",
     "op2_secret_ledger": _secrets_sql(),
+    "op11_filter_audit": """
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+        f AS (SELECT doc_id, part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+                     100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS c,
+                     regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e FROM w),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        r AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+        n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM r GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT [p.bit, q.bit, s.bit, u.bit, v.bit] AS bits, p.x || q.x || s.x || u.x || v.x AS filter_order FROM x p, x q, x s, x u, x v WHERE p.bit + q.bit + s.bit + u.bit + v.bit = 31 AND p.bit | q.bit | s.bit | u.bit | v.bit = 31),
+        g AS (SELECT filter_order, k AS step, bits[k] AS own, list_sum(bits[1:k])::INT - bits[k] AS before FROM o, (SELECT unnest(range(1, 6))::INT AS k)),
+        y AS (SELECT part, filter_order, step, own,
+                     coalesce(sum(n) FILTER (fails & (before | own) = 0), 0)::BIGINT AS kept,
+                     coalesce(sum(n) FILTER (fails & own > 0 AND fails & before = 0), 0)::BIGINT AS removed,
+                     coalesce(sum(n) FILTER (fails & own > 0 AND fails & before > 0), 0)::BIGINT AS redundant,
+                     coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+                     coalesce(sum(good) FILTER (fails & own > 0 AND fails & before = 0), 0)::BIGINT AS good_lost,
+                     coalesce(sum(toxic) FILTER (fails & own > 0 AND fails & before = 0), 0)::BIGINT AS toxic_lost
+              FROM n, g GROUP BY ALL)
+        SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM y""",
     "op9_boilerplate_lines": f"""
         WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
         b AS (SELECT line, min(doc_id) AS first FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
