@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, filteraudit, langid, linededup, lm, media, packing, secrets, sharding, simhash, toxicity
+from . import bpe, decontam, filteraudit, langid, linededup, lm, media, packing, ranked, secrets, sharding, simhash, toxicity
 from .common import remainder, shared_folder
 
 SHARD_BYTES = 1 << 20
 MIN_SITES = 10
+BEST = 20
 #: The tokenizer's vocabulary file, by its name in public_tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -89,13 +90,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), BEST).drop("tier")
+
+
 def op13_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(_table(spark, sf_dir, "documents"), _vocabulary(WORD_VOCABULARY)).drop("certified")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_extendible_sharding, op2_secret_ledger, op3_iso_media, op4_toxicity, op5_simhash, op6_decontaminate, op7_language, op8_bpe, op9_boilerplate_lines, op10_brown_lm, op11_filter_audit, op13_bound_packing)
+    for f in (op1_extendible_sharding, op2_secret_ledger, op3_iso_media, op4_toxicity, op5_simhash, op6_decontaminate, op7_language, op8_bpe, op9_boilerplate_lines, op10_brown_lm, op11_filter_audit, op12_tiered_search, op13_bound_packing)
 }
 
 
@@ -153,6 +158,18 @@ SQL = {
                      coalesce(sum(toxic) FILTER (fails & own > 0 AND fails & before = 0), 0)::BIGINT AS toxic_lost
               FROM n, g GROUP BY ALL)
         SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM y""",
+    "op12_tiered_search": f"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY r),
+        s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d),
+        w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, nn),
+        i AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+        g AS (SELECT q, item_id, term, count(*) AS qf FROM i GROUP BY ALL),
+        x AS (SELECT q, item_id, r, doc_id, sum(qf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+              FROM g JOIN w USING (term) JOIN p USING (term) JOIN d USING (r), s GROUP BY ALL),
+        k AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM x WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= {BEST}""",
     "op9_boilerplate_lines": f"""
         WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
         b AS (SELECT line, min(doc_id) AS first FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
