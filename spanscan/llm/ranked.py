@@ -35,7 +35,7 @@ from .decontam import words
 #: Words of the corpus in a segment (and one document more at most), documents in it, and words of the items in a block.
 SEGMENT, DOCUMENTS, BLOCK = 1 << 20, 1 << 13, 1 << 18
 #: The most frequent terms, whose postings are dealt to tiers; what a tier's postings add at least, as parts of the most that any can.
-HEAD, TIERS = 1 << 16, (1 / 6, 1 / 24, 0.0)
+HEAD, TIERS = 1 << 16, (1 / 8, 1 / 24, 0.0)
 #: Items whose sums a task holds at once.
 AT_ONCE = 256
 
@@ -102,7 +102,7 @@ def _least_df(terms: DataFrame, most: int) -> int:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", tiers: tuple[float, ...] = TIERS, head: int = HEAD) -> Index:
-    """The index of all documents and all their terms, whole texts. Null texts have no terms; keys may be null, repeated and of any type that has an order.
+    """The index of all documents and all their terms, whole texts. A segment's rows are in order of the tiers, so that readers of some skip the pages of the others. Null texts have no terms; keys may be null, repeated and of any type that has an order.
 
     tiers: what a posting adds at least to be in each tier, as parts of what the rarest term can add; the last is 0.
     """
@@ -119,7 +119,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", tiers:
     names = ["segment", "tier", "nth", "key", "term", "n", "top", "docs", "impacts"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, segment, size, keys, texts = None, None, 0, [], []
+        kind, segment, size, keys, held = None, None, 0, [], []
+        ids: dict[bytes, int] = {}
 
         def give() -> Iterator[pa.RecordBatch]:
             order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i]) if keys[i] is not None else (False,))
@@ -128,10 +129,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", tiers:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([segment] * m, pa.int64()), pa.array([-1] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([keys[i] for i in order], kind), none(pa.binary(), m), none(pa.int32(), m), none(pa.int32(), m), none(pa.binary(), m), none(pa.binary(), m)], names
             )
-            ids: dict[bytes, int] = {}
-            lengths = np.array([len(texts[i]) for i in order], np.int64)
-            flat = np.fromiter((ids.setdefault(x, len(ids)) for i in order for x in texts[i]), np.int64, int(lengths.sum()))
-            packed, tf = np.unique(flat << 32 | np.repeat(np.arange(m), lengths), return_counts=True)
+            lengths = np.array([len(held[i]) for i in order], np.int64)
+            packed = np.concatenate([held[i] for i in order]).astype(np.int64) << 32
+            held.clear()
+            packed, tf = np.unique(packed | np.repeat(np.arange(m), lengths), return_counts=True)
             of, doc = packed >> 32, packed & 0xFFFFFFFF
             adds = impact(tf, stretch(lengths, n, total)[doc])
             every = list(ids)
@@ -153,16 +154,18 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", tiers:
             kind = batch.column(1).type
             for row, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 segment = row if segment is None else segment
-                texts.append(words(t.as_py()))
+                w = words(t.as_py())
+                held.append(np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int32, len(w)))
                 keys.append(k)
-                size += len(texts[-1])
+                size += len(w)
                 if size >= segment_words or len(keys) >= segment_docs:
                     yield from give()
-                    segment, size, keys, texts = None, 0, [], []
+                    segment, size, keys = None, 0, []
+                    ids.clear()
         if keys:
             yield from give()
 
-    table = written(rows.mapInArrow(index, f"segment long, tier int, nth int, key {rows.schema['key'].dataType.simpleString()}, term binary, n int, top int, docs binary, impacts binary"), "tiers", by="tier")
+    table = written(rows.mapInArrow(index, f"segment long, tier int, nth int, key {rows.schema['key'].dataType.simpleString()}, term binary, n int, top int, docs binary, impacts binary"), "tiers")
     return Index(table.filter("tier = -1").select("segment", "nth", "key"), table.filter("tier >= 0").select("segment", "tier", *names[4:]), terms, n, len(least))
 
 
