@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: A fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces of up to so many bytes are scanned and remembered; pieces remembered in a worker, in each of two generations.
-SHORT, REMEMBERED = 48, 200_000
+SHORT, REMEMBERED = 48, 100_000
 NO_RANK = 1 << 60
 #: A merge is kept as its rank and id in one integer, under a key of the two ids.
 ID_BITS = 20

@@ -40,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def in_few(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """The same rows in as few partitions as so many rows need: small tables in rounds of joins cost tasks and files more than anything else."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """row (a struct of all columns, so that no name of theirs meets one of ours) and place, a number; written once, so that all readers see the same numbers."""
     return written(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place")), "numbered")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, settled
+from .common import in_few, numbered, settled
 
 BITS = 64
 #: A shard of more fingerprints than this is split in Spark; a leaf of this many is compared pair by pair.
@@ -189,19 +189,20 @@ def components(edges: DataFrame) -> DataFrame:
     A round is aggregates and joins alone: no node's neighbours are gathered in one place, and AQE splits a node of many.
     """
     edges = settled(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct())
-    before = None
+    before, n = None, edges.count()
     while True:
+        edges = in_few(edges, n)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").distinct()
+        large = in_few(both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v"), 2 * n)
         down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("m").alias("w"), "u", "v")
+        small = in_few(large.join(down, "v").select(F.col("m").alias("w"), "u", "v"), 2 * n)
         small = small.select(F.explode(F.array(F.struct(F.col("w").alias("u"), F.col("u").alias("v")), F.struct(F.col("w").alias("u"), F.col("v").alias("v")))).alias("e")).select("e.u", "e.v").filter("u < v").distinct()
-        edges = settled(small)
+        edges = settled(in_few(small, 2 * n))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
-        before = tuple(now)
+        before, n = tuple(now), now[0]
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 

@@ -142,7 +142,8 @@ class Model:
 
     def __post_init__(self):
         put = lambda k, v: object.__setattr__(self, k, v)
-        put("restored", lru_cache(maxsize=50_000)(lambda w: readings(w, self.chars)))
+        read = lru_cache(maxsize=REMEMBERED)(lambda w: readings(w, self.chars))
+        put("restored", lambda w: read(w) if len(w) <= SHORT else readings(w, self.chars))
         put("whole", frozenset(w for w in self.words if w[0] != MANY[0] and w[0] != START[0]))
         put("starts", frozenset(w.lstrip(MANY + START)[: STEMS[0]] for w in self.words if w[0] in MANY + START))
         put("single", (frozenset(map(_collapsed, self.whole)), frozenset(map(_collapsed, self.starts))))
@@ -170,6 +171,8 @@ class Model:
         return 1 - clean
 
 
+#: Words whose readings a worker remembers, and their length at most; longer ones are decoded each time.
+REMEMBERED, SHORT = 30_000, 48
 #: What features that aren't whole words start with: a beginning, and one that several distinct words of the text have.
 START, MANY = b"^", b"+"
 
