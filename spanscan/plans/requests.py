@@ -65,6 +65,19 @@ def inspection_gate(spark, sf_dir):
     return _bodies(spark, sf_dir).select("conv_id", provenance.needs_inspection(b).alias("inspect"), provenance.structural(b).alias("structural"), provenance.within_limits(b, 20_000).alias("fits"))
 
 
+#: A tool's message that nests its text up to eight levels deep, its type spelt with an escape in every other one.
+NESTED = """'{"messages":[{"role":"user","content":[{"type":"' || CASE WHEN conv_id % 2 = 0 THEN 'tool' || chr(92) || 'u005fresult' ELSE 'tool_result' END || '","content":' || repeat('[{"content":', turn % 9) || '[' || q || ',{"text":' || q || '}]' || repeat('}]', turn % 9) || '}]}]}'"""
+
+
+def nested_bodies(spark, sf_dir):
+    """Spans of content nested to any depth, and whether the gate for large bodies sees a type with an escape in it."""
+    quoted = F.to_json(F.array("text"))
+    said = table(spark, sf_dir, "conversations").filter("text <> ''").withColumn("q", F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    bodies = said.selectExpr("conv_id * 1000 + turn AS id", f"{NESTED} AS body")
+    gated = bodies.select("id", provenance.structural(F.col("body")).alias("structural"))
+    return provenance.spans(bodies, "id").select("id", "locator", "origin", F.sha2("text", 256).alias("text_sha256")).join(gated, "id")
+
+
 def _findings(spark, sf_dir) -> DataFrame:
     found = matching.scan(provenance.spans(_bodies(spark, sf_dir), "conv_id"), RULES, DAMPENERS, variants=False)
     return found.withColumn("score", F.col("score.total")).withColumn("names", F.array_distinct(F.transform("matches", lambda m: m["name"])))
@@ -186,7 +199,7 @@ def json_media_replaced(spark, sf_dir):
     return out.select("conv_id", "turn", (F.col("new") == F.col("body")).alias("same"), F.get_json_object("new", "$.messages[0].content[0].text").alias("text"), F.get_json_object("new", "$.messages[0].content[1].text").alias("next"))
 
 
-QUERIES = {f.__name__: f for f in (request_spans, inspection_gate, policy_decisions, strict_decisions, refusals, top_windows, workspace_reads, routes, stream_watch, stream_calls, multipart_parts, multipart_rebuilt, json_media, json_media_replaced)}
+QUERIES = {f.__name__: f for f in (request_spans, inspection_gate, nested_bodies, policy_decisions, strict_decisions, refusals, top_windows, workspace_reads, routes, stream_watch, stream_calls, multipart_parts, multipart_rebuilt, json_media, json_media_replaced)}
 
 _DECIDED = f"""{_SPANS_SQL}, x AS (SELECT conv_id, locator, origin, text, conv_id || '/' || locator AS doc_id FROM spans), {_scored_sql("SELECT * FROM x")}, ok AS (SELECT DISTINCT text AS known FROM x WHERE conv_id % 9 = 0),
     f AS (SELECT r.*, round(raw, 3) AS score, known IS NOT NULL AS known, origin = 'untrusted' AND round(raw, 3) >= {matching.BLOCK} AS would FROM r LEFT JOIN ok ON known = text)"""
@@ -197,6 +210,8 @@ _OF = lambda *v: f"(CASE event_id % {len(v)} " + " ".join(f"WHEN {i} THEN {'NULL
 _HIT = " || ".join(f"CASE WHEN regexp_matches(tail, {_quoted(r.pattern)}) THEN {_quoted(r.name + ',')} ELSE '' END" for r in sorted(WATCHED, key=lambda r: r.name))
 
 SQL = {
+    "nested_bodies": """WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn % 9 AS d, text FROM conversations WHERE text <> '')
+        SELECT id, 'messages[0].content[0].tool_result' || repeat('[0].content', d::INT) || e AS locator, 'untrusted' AS origin, sha256(text) AS text_sha256, true AS structural FROM t, (SELECT unnest(['[0]', '[1].text']) AS e)""",
     "request_spans": f"WITH {_SPANS_SQL} SELECT conv_id, locator, origin, sha256(text) AS text_sha256 FROM spans",
     "inspection_gate": f"""WITH {_BODIES}, l AS (SELECT conv_id, body, lower(body) AS low FROM body) SELECT conv_id, regexp_matches(low, 'tool_result|function_call_output|"document"|search_result|<document|\\\\u') OR (contains(low, '"role"') AND contains(low, '"tool"')) AS inspect,
         regexp_matches(low, '"type":"(tool_result|function_call_output|document|search_result)"|"role":"tool"|<(documents?|search_results?)[\\s>]') AS structural, strlen(body) <= 20000 AS fits FROM l""",
