@@ -11,9 +11,11 @@ scanned anew over old blobs, and an unchanged one is not.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,33 +132,47 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 class Ledger:
-    """Entries and findings of all runs so far, as Parquet tables under a folder that the driver and executors share.
+    """Entries and findings of all finished runs, in this session and earlier ones, as Parquet tables under a folder that the driver and executors share.
 
-    A run adds its findings before its entries: a run that stops between the two is scanned again, and findings
-    are read without repeats.
+    A run has a folder of a name of its own, and is marked as finished by a row that is written last. What a run left
+    that stopped before isn't read, and is scanned again by the next one. Findings are read without repeats.
     """
 
     def __init__(self, spark: SparkSession, at: str):
-        self.spark, self.at, self.runs = spark, at, []
+        self.spark, self.at = spark, at
 
-    def _all(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.at}/{run}/{name}" for run in self.runs]) if self.runs else None
+    @property
+    def runs(self) -> list[str]:
+        """The finished runs: one name for each."""
+        try:
+            return sorted({r["run"] for r in self.spark.read.schema("run string").parquet(f"{self.at}/finished").collect()})
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # no run has finished yet
+                raise
+            return []
+
+    def _all(self, name: str, schema: str) -> DataFrame | None:
+        runs = self.runs
+        return self.spark.read.schema(schema).parquet(*[f"{self.at}/{run}/{name}" for run in runs]) if runs else None
 
     @property
     def entries(self) -> DataFrame | None:
-        return self._all("entries")
+        return self._all("entries", "blob string, rule_version string")
 
     @property
     def findings(self) -> DataFrame:
-        return self._all("findings").distinct()
+        """Findings of all finished runs; none where no run has finished."""
+        schema = "blob string, rule_version string, kind string, start long, end long"
+        found = self._all("findings", schema)
+        return self.spark.createDataFrame([], schema) if found is None else found.distinct()
 
     def run(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> None:
         """Scans what the ledger hasn't seen, and adds it."""
         found, entries = scan(versions, self.entries, rules, text)
-        name = f"run-{len(self.runs)}"
+        name = f"run-{uuid.uuid4().hex}"
         found.write.parquet(f"{self.at}/{name}/findings")
         entries.write.parquet(f"{self.at}/{name}/entries")
-        self.runs.append(name)
+        self.spark.range(1).select(F.lit(name).alias("run")).write.mode("append").parquet(f"{self.at}/finished")
 
 
 def spans_of(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -89,15 +89,40 @@ def test_a_stored_ledger_grows_by_runs(spark, tmp_path):
     ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
     ledger.run(first, secrets.BASE)
     assert ledger.entries.count() == 3 * 2 and {r["kind"] for r in ledger.findings.collect()} == {"assign"}
+    before = set(ledger.runs)
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))  # as in a later session
     ledger.run(later)
-    run = spark.read.parquet(str(tmp_path / "ledger/run-1/entries"))
+    (second,) = set(ledger.runs) - before
+    run = spark.read.parquet(str(tmp_path / f"ledger/{second}/entries"))
     assert run.count() == 2 * len(secrets.ADDED) + len(secrets.RULES)  # added rules over the two old blobs, all over the new one
+    before = set(ledger.runs)
     ledger.run(later)
-    assert spark.read.parquet(str(tmp_path / "ledger/run-2/entries")).count() == 0
+    (third,) = set(ledger.runs) - before
+    assert spark.read.parquet(str(tmp_path / f"ledger/{third}/entries")).count() == 0
     got = spans_by_id(later, ledger.findings)
     assert {i: r["joined"] for i, r in got.items()} == {1: plain_spans(web + key), 2: "", 3: plain_spans(web), 4: plain_spans(web)}
 
 
+def test_a_run_that_stops_is_scanned_again(spark, tmp_path, monkeypatch):
+    rows, at = docs(spark, [(1, "password=abcdef", "s"), (2, "clean", "s")]), str(tmp_path / "ledger")
+    assert secrets.Ledger(spark, at).runs == [] and secrets.Ledger(spark, at).entries is None and secrets.Ledger(spark, at).findings.count() == 0
+    for last in ("findings", "entries"):  # stops after this table
+
+        def broken(versions, *more, scan=secrets.scan, last=last):
+            found, entries = scan(versions, *more)
+            fails = F.raise_error(F.lit("lost"))
+            return found if last == "entries" else found.filter(fails.isNull()), entries.filter(fails.isNull())
+
+        with monkeypatch.context() as m:
+            m.setattr(secrets, "scan", broken)
+            with pytest.raises(Exception, match="lost"):
+                secrets.Ledger(spark, at).run(rows)
+        assert secrets.Ledger(spark, at).runs == []
+    ledger = secrets.Ledger(spark, at)
+    ledger.run(rows)
+    assert len(ledger.runs) == 1 and ledger.entries.count() == 2 * len(secrets.RULES) and ledger.findings.count() == 1
+
+
 def test_versions_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "token=abcdefg", "b", 5, "s"), (1, "token=abcdefg", "b", 5, "s"), (None, None, None, None, None)], "doc_id long, text string, blob string, salt int, spans string")
     got = secrets.located(df, secrets.scan(df)[0], ["blob", "salt", "spans"]).select("version.*", secrets.joined("spans").alias("found")).collect()
