@@ -34,17 +34,17 @@ END = b" "
 LENGTHS = (3, 6, 9, 13)
 SHAPES = 2 * (len(LENGTHS) + 1)
 #: Entries that a task counts before it gives the counts away.
-KEPT_WORDS, KEPT_PAIRS = 200_000, 600_000
+KEPT_WORDS, KEPT_PAIRS = 200_000, 1_000_000
 
 
 def clustered(distinct: int) -> int:
-    """How many words are clustered by exchange: eight times the cube root of the vocabulary, so that their bigrams fit a driver whatever the corpus."""
-    return int(np.ceil(8 * np.cbrt(distinct)))
+    """How many words are clustered by exchange: twice the square root of the vocabulary, so that their bigrams grow with it and not with its square."""
+    return int(np.ceil(2 * np.sqrt(distinct)))
 
 
 def classes_for(distinct: int) -> int:
-    """How many classes they go to: four times the fifth root of the vocabulary."""
-    return int(np.ceil(4 * distinct**0.2))
+    """How many classes they go to: the cube root of the vocabulary."""
+    return int(np.ceil(np.cbrt(distinct)))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -85,19 +85,25 @@ def neighbours(docs: DataFrame, seeds: list[bytes], text: str = "text") -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, of, words = len(seeds), {w: i for i, w in enumerate(seeds)}, list(seeds)
-        seen, held, size = Counter(), [], 0
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        held, size = [], 0
 
         def add() -> None:
             ids = np.concatenate(held)
             left, right = ids[:-1], ids[1:]
             use = ((left < first) | (right < first)) & (left >= 0) & (right >= 0)
-            pairs, n = np.unique(left[use] << 32 | right[use], return_counts=True)
-            for p, m in zip(pairs.tolist(), n.tolist(), strict=True):
-                seen[p] += m
+            seen.append(np.unique(left[use] << 32 | right[use], return_counts=True))
             held.clear()
 
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            pairs, n = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*seen, strict=True)) if seen else (np.empty(0, np.int64),) * 2
+            order = np.argsort(pairs, kind="stable")
+            pairs = pairs[order]
+            starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.empty(0, np.int64)
+            return pairs[starts], np.add.reduceat(n[order], starts) if len(pairs) else n
+
         def give() -> pa.RecordBatch:
-            packed, n = np.array(list(seen), np.int64), np.array(list(seen.values()), np.int64)
+            packed, n = merged()
             left, right = packed >> 32, packed & 0xFFFFFFFF
             out, into = right < first, right >= first  # of two seeds, the one before counts as the word
             at, code, m = np.concatenate((left[out], right[into])), np.concatenate((right[out] * 2 + 1, left[into] * 2)), np.concatenate((n[out], n[into]))
@@ -123,8 +129,10 @@ def neighbours(docs: DataFrame, seeds: list[bytes], text: str = "text") -> DataF
                 if size > 1 << 18:
                     add()
                     size = 0
-                    if len(seen) > KEPT_PAIRS:
-                        yield give()
+                    if sum(len(p) for p, _ in seen) > 2 * KEPT_PAIRS:
+                        seen[:] = [merged()]
+                        if len(seen[0][0]) > KEPT_PAIRS:
+                            yield give()
         if held:
             add()
         yield give()
