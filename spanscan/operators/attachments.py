@@ -24,11 +24,40 @@ PART = pa.struct([("name", pa.string()), ("filename", pa.string()), ("content_ty
 MEDIUM = pa.struct([("block", pa.string()), ("path", pa.string()), ("provider", pa.string()), ("media_type", pa.string()), ("data", pa.binary())])
 
 
+def parameters(header: str) -> dict[str, str]:
+    """The parameters of a header's value, by name in lower case: tokens, or quoted strings in which a backslash quotes the next character. Of a name that comes twice the first counts."""
+    out, at, n = {}, header.find(";") + 1 or len(header), len(header)
+    while at < n:
+        stop = at
+        while stop < n and header[stop] not in "=;":
+            stop += 1
+        name, at, value = header[at:stop].strip().lower(), stop + 1, ""
+        if stop < n and header[stop] == "=":
+            while at < n and header[at] in " \t":
+                at += 1
+            if at < n and header[at] == '"':
+                at += 1
+                while at < n and header[at] != '"':
+                    at += header[at] == "\\" and at + 1 < n
+                    value, at = value + header[at], at + 1
+                at = n if (end := header.find(";", at)) < 0 else end + 1
+            else:
+                stop = n if (end := header.find(";", at)) < 0 else end
+                value, at = "".join(header[at:stop].split()[:1]), stop + 1
+            if name:
+                out.setdefault(name, value)
+    return out
+
+
 def boundary(content_type: Column) -> Column:
     """The boundary that a multipart content type names; null for others."""
-    named = F.regexp_extract(content_type, r'(?i)boundary=(?:"([^"]+)"|([^;\s]+))', 0)
-    value = F.regexp_replace(F.regexp_replace(named, r"(?i)^boundary=", ""), '"', "")
-    return F.when(F.lower(content_type).contains("multipart/"), F.nullif(value, F.lit("")))
+
+    @F.arrow_udf("string")
+    def of(types: pa.Array) -> pa.Array:
+        named = (t.as_py() for t in types)
+        return pa.array([parameters(t).get("boundary") or None if t and t.lstrip().lower().startswith("multipart/") else None for t in named], pa.string())
+
+    return of(content_type)
 
 
 def _parts(body: bytes, mark: str) -> list[dict]:
@@ -47,7 +76,7 @@ def _parts(body: bytes, mark: str) -> list[dict]:
                 about[name.strip().lower()] = value.strip()
         content = re.sub(rb"\r?\n\Z", b"", block[head.end() :])
         said = about.get("content-disposition", "")
-        named = {k: (m[1] if m[1] is not None else m[2]) for k in ("name", "filename") if (m := re.search(rf'(?i)(?:^|[;\s]){k}=(?:"([^"]*)"|([^;\s]+))', said))}
+        named = parameters(said)
         out.append({"name": named.get("name"), "filename": named.get("filename"), "content_type": about.get("content-type"), "first_byte": start + head.end(), "body": content})
     return out
 
