@@ -7,13 +7,13 @@ back to the text. Everything but the readings runs in the JVM, and nothing shuff
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import triggers
 from ..functions.spans import covered, islands, let, places, replaced
 from ..functions.variants import readings
 
@@ -36,34 +36,24 @@ class Rule:
     name: str = ""
     dampen: float = 1.0  #: of dampeners: what is left of the weight of matches near them
 
-    @property
-    def needs(self) -> tuple[str, ...]:
-        """Literals, in lower case, one of which every match has; empty where the pattern's start doesn't say."""
-        p = self.pattern.removeprefix("(?i)")
-        if m := re.match(r"\((?:\?:)?([A-Za-z '|-]+)\)(?![?*{])", p):
-            every = [x.lower() for x in m[1].split("|")]
-        else:
-            m = re.match(r"[A-Za-z0-9 <\"/:_=-]+", p)
-            every = [(m[0][:-1] if p[m.end() : m.end() + 1] in ("?", "*", "{") else m[0]).lower()] if m and "|" not in re.sub(r"\([^()]*\)", "", p) else []
-        return tuple(every) if every and all(len(x.strip()) > 2 for x in every) else ()
-
 
 MATCH = "array<struct<rule:string,name:string,category:string,severity:string,start:int,end:int>>"
 
 
-CATALOG = "array<struct<rule:string,name:string,category:string,severity:string,pattern:string,dampen:double,needs:array<string>>>"
+CATALOG = "array<struct<rule:string,name:string,category:string,severity:string,pattern:string,dampen:double,marks:array<array<string>>,literals:array<string>>>"
 
 
 def catalog(rules: tuple[Rule, ...]) -> Column:
-    """A catalog as one constant, so that a query is as large as it is whatever the number of its rules."""
-    rows = [{"rule": r.id, "name": r.name or r.id, "category": r.category, "severity": r.severity, "pattern": r.pattern, "dampen": float(r.dampen), "needs": list(r.needs)} for r in rules]
+    """A catalog as one constant, so that a query is as large as it is whatever the number of its rules. marks, literals: see `triggers.needs`."""
+    rows = [{"rule": r.id, "name": r.name or r.id, "category": r.category, "severity": r.severity, "pattern": r.pattern, "dampen": float(r.dampen), **dict(zip(("marks", "literals"), triggers.needs(r.pattern), strict=True))} for r in rules]
     return F.from_json(F.lit(json.dumps(rows)), CATALOG)
 
 
 def hit(text: Column, low: Column, rules: tuple[Rule, ...]) -> Column:
-    """The rules that match a text; low: the text in lower case, which is looked through for a literal that a rule needs before its pattern is run."""
-    likely = F.filter(catalog(rules), lambda r: (F.size(r["needs"]) == 0) | F.exists(r["needs"], lambda x: F.contains(low, x)))
-    return F.filter(likely, lambda r: F.rlike(text, r["pattern"]))
+    """The rules that match a text; low: the text in lower case. It is split once, its marks pick rules, these are tested for a literal, and only then are their patterns run."""
+    marked = lambda has, r: F.forall(r["marks"], lambda g: F.arrays_overlap(g, has))
+    holds = lambda r: (F.size(r["literals"]) == 0) | F.exists(r["literals"], lambda x: F.contains(low, x))
+    return let(triggers.marks(low, tuple(r.pattern for r in rules)), lambda has: F.filter(catalog(rules), lambda r: marked(has, r) & holds(r) & F.rlike(text, r["pattern"])))
 
 
 def found(text: Column, rules: tuple[Rule, ...]) -> Column:

@@ -138,7 +138,6 @@ def test_every_rule_has_an_example(spark):
     rows = [(x["id"], e) for x in spec["rules"] + spec["dampeners"] for e in x["examples"]]
     found = matching.find_all(spark.createDataFrame(rows, "id string, text string"), rules + dampeners, "id").filter("id = rule").select("id").distinct().count()
     assert found == len(every) and len({r.category for r in rules}) >= 19
-    assert all(any(n in e.lower() for n in every[i].needs) for i, e in rows if every[i].needs)
 
 
 # Personal data
