@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions import wire
 from ..operators import attachments, audit, matching, provenance
 from ..sources.tables import json_lines, table
+from ..sources.versions import Versions, shared_folder
 
 NOW = "2024-07-01 00:00:00"
 #: A request log of events: name and expression, in SQL that Spark and DuckDB share; lists are made from the second half on.
@@ -231,11 +232,43 @@ def split_letters(spark, sf_dir):
     return t.select("conv_id", "turn", F.sha2(T.joined_letters(F.col("text")), 256).alias("joined_sha256"), F.sha2(F.array_join(T.wrapped(F.col("text")), "|"), 256).alias("wrapped_sha256"))
 
 
+def _halves(spark, sf_dir, *columns):
+    e = table(spark, sf_dir, "events").select(*columns)
+    return e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")
+
+
+def stored_daily(spark, sf_dir):
+    """Counters by day in a table that two batches change, the second of which is sent twice."""
+    stats = Versions(spark, shared_folder(spark), "day date, scanned long, blocked long")
+    daily = lambda e: e.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("scanned"), F.count_if(F.col("value") > 100).alias("blocked"))
+    even, odd = map(daily, _halves(spark, sf_dir, "event_id", "ts", "value"))
+    for batch, delta in (("even", even), ("odd", odd), ("odd", odd)):
+        stats.add_up(batch, delta, "day")
+    return stats.rows.withColumn("day", F.col("day").cast("string"))
+
+
+def stored_newest(spark, sf_dir):
+    """The hundred newest events of two batches, from a store that holds no more."""
+    store = Versions(spark, shared_folder(spark), "event_id long, ts timestamp_ntz, event_type string")
+    for i, half in enumerate(_halves(spark, sf_dir, "event_id", "ts", "event_type")):
+        store.keep_newest(f"half-{i}", half, [F.desc("ts"), F.desc("event_id")], 100)
+    return store.rows.select("event_id", "event_type")
+
+
+def stored_within_quota(spark, sf_dir):
+    """Two batches of writes, of which a table takes two for each type and hour; then those that have expired go."""
+    store = Versions(spark, shared_folder(spark), "event_id long, ts timestamp_ntz, event_type string")
+    for i, half in enumerate(_halves(spark, sf_dir, "event_id", "ts", "event_type")):
+        store.insert_within(f"half-{i}", half, "event_type", "ts", "event_id", 2, "hour")
+    store.drop_expired("clean", "ts", "2024-01-20 00:00:00", 10)
+    return store.rows.select("event_id", "event_type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_log, metric_counters, hits_by_category, blocks_by_host, activity_counters, attachment_counts, recent_by_type, audit_totals, redaction_report, audit_events, diagnostics_bundle, diagnostic_events, merged_scans, benchmark_tally, detection_quality,
-        label_entities, download_maps, surviving_rows, sound_reports, quota_from_first, claimed_once, burst_notices, retained_events, stats_history, top_findings, fused_scores, jsonl_samples, base64_media, proofs_of_work, safe_headers, validators, split_letters,
+        label_entities, download_maps, surviving_rows, sound_reports, quota_from_first, claimed_once, burst_notices, retained_events, stats_history, top_findings, fused_scores, jsonl_samples, base64_media, proofs_of_work, safe_headers, validators, split_letters, stored_daily, stored_newest, stored_within_quota,
     )
 }
 
@@ -243,6 +276,9 @@ _WINDOWS = "RECURSIVE e AS (SELECT {k} AS k, epoch_us(ts) // 1000 AS ms, count(*
 _OF = lambda *v: f"(CASE event_id % {len(v)} " + " ".join(f"WHEN {i} THEN {_quoted(x)}" for i, x in enumerate(v)) + " END)"
 _SUM = lambda d, n: f"list_sum(list_transform(range(1, {n} + 1), lambda i: CASE WHEN ({n} - i) % 2 = 0 THEN substr({d}, i, 1)::INT WHEN substr({d}, i, 1)::INT > 4 THEN 2 * substr({d}, i, 1)::INT - 9 ELSE 2 * substr({d}, i, 1)::INT END)) % 10 = 0"
 SQL = {
+    "stored_daily": "SELECT ts::DATE::VARCHAR AS day, count(*) AS scanned, count(*) FILTER (value > 100) AS blocked FROM events GROUP BY 1",
+    "stored_newest": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
+    "stored_within_quota": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id % 2, ts, event_id) AS nth FROM events) SELECT event_id, event_type FROM r WHERE nth <= 2 AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY",
     "scan_log": f"""WITH {_LOG} SELECT CASE WHEN inspection_performed THEN 'gateway' ELSE 'gateway-uninspected-' || coalesce(skip_reason, 'unknown') END AS source, CASE WHEN {_VERDICT} THEN 'high' END AS severity, count(*) AS n, count(*) FILTER ({_VERDICT}) AS detected, sum(body_size)::BIGINT AS bytes, count(*) FILTER (match_count > 0) AS named FROM l GROUP BY 1, 2""",
     "metric_counters": f"WITH {_LOG} SELECT count(*) AS requests, count(*) FILTER (detected) AS blocked, count(*) FILTER (media_findings > 0) AS rewritten, count(*) FILTER (skip_reason = 'oversized') AS oversized, coalesce(sum(body_size) FILTER (inspection_performed), 0)::BIGINT AS bytes FROM l",
     "hits_by_category": "SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM events",
