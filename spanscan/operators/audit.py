@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,23 +198,69 @@ def sound_reports(reports: DataFrame) -> DataFrame:
     return reports.filter(good).withColumns(cut | {"pattern_names": F.transform(F.slice(names, 1, LIMITS["pattern_names"]), lambda n: F.left(n, F.lit(LIMITS["pattern_name"])))})
 
 
+#: How many windows' time a slice of a key's events has.
+SLICE = 64
+
+
+def _after(ms: np.ndarray, width: int) -> np.ndarray:
+    """For each event the place of the one where the next window would start."""
+    return np.searchsorted(ms, ms + width)
+
+
 def windows_from_first(events: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
     """by, start, n: windows of so many seconds, each of which starts at the first event after the one before has run out.
 
-    A pause as long as a window starts a new one in any case, so the stretches between pauses are worked through apart.
-    Events of the same millisecond are counted up first.
+    A key's time is cut into slices of SLICE windows, which are worked through apart, so a busy key is many tasks. Where
+    the first window of a slice starts depends on the slice before, but it starts within a window's time or at the next
+    event: for each such event a slice says where its last window would start. Only these few events meet by key, where
+    one slice after another gets its first window. Events of the same millisecond are counted up first, so a slice has
+    a row a millisecond at most. Rows without a time are in no window; a null key is a key.
     """
-    width = seconds * 1000
-    each = events.groupBy(by, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by).orderBy("ms")
-    gap = F.col("ms") - F.lag("ms").over(w)
-    runs = each.withColumn("run", F.sum(F.when(gap.isNull() | (gap >= width), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = runs.groupBy(by, "run").agg(F.array_sort(F.collect_list(F.struct("ms", "n"))).alias("e"))
-    none = F.array().cast("array<struct<start:bigint,n:bigint>>")
-    state = F.struct(none.alias("done"), F.get("e", F.lit(0))["ms"].alias("start"), F.lit(0).cast("bigint").alias("n"))
-    closed = lambda s: F.array_append(s["done"], F.struct(s["start"].alias("start"), s["n"].alias("n")))
-    step = lambda s, x: F.when(x["ms"] - s["start"] < width, F.struct(s["done"].alias("done"), s["start"].alias("start"), (s["n"] + x["n"]).alias("n"))).otherwise(F.struct(closed(s).alias("done"), x["ms"].alias("start"), x["n"].alias("n")))
-    return grouped.select(by, F.explode(F.aggregate("e", state, step, closed)).alias("w")).select(by, F.timestamp_millis("w.start").cast("timestamp_ntz").alias("start"), "w.n")
+    width, stretch = seconds * 1000, SLICE * seconds * 1000
+    kind = events.schema[by].dataType.simpleString()
+    each = events.select(F.col(by).alias("k"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms")).filter("ms IS NOT NULL").groupBy("k", "ms").agg(F.count("*").alias("n"))
+    each = each.withColumn("slice", F.floor(F.col("ms") / stretch).cast("bigint"))
+
+    def through(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ms")
+        ms = t["ms"].to_numpy()
+        after, last = _after(ms, width), np.arange(len(ms))
+        last = np.where(after < len(ms), after, last)
+        while not np.array_equal(further := last[last], last):
+            last = further
+        first = min(len(ms), int(np.searchsorted(ms, t["slice"][0].as_py() * stretch + width)) + 1)
+        return pa.table({"k": t["k"].slice(0, first), "slice": t["slice"].slice(0, first), "ms": t["ms"].slice(0, first), "last": pa.array(ms[last[:first]], pa.int64())})
+
+    def chained(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("slice", "ascending"), ("ms", "ascending")])
+        slices, ms, last = (t[c].to_numpy() for c in ("slice", "ms", "last"))
+        heads = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]])
+        before, entry, open_since = [], [], None
+        for lo, hi in zip(heads, [*heads[1:], len(ms)], strict=True):
+            i = lo if open_since is None else lo + int(np.searchsorted(ms[lo:hi], open_since + width))
+            before.append(open_since)
+            entry.append(int(ms[i]) if i < hi else None)
+            open_since = int(last[i]) if i < hi else open_since
+        return pa.table({"k": t["k"].take(pa.array(heads)), "slice": t["slice"].take(pa.array(heads)), "before": pa.array(before, pa.int64()), "entry": pa.array(entry, pa.int64())})
+
+    def counted(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ms")
+        ms, n, before, entry = t["ms"].to_numpy(), t["n"].to_numpy(), t["before"][0].as_py(), t["entry"][0].as_py()
+        after, at = _after(ms, width), []
+        i = len(ms) if entry is None else int(np.searchsorted(ms, entry))
+        head = int(n[:i].sum())  # events of a window that started in an earlier slice
+        while i < len(ms):
+            at.append(i)
+            i = int(after[i])
+        start = [int(ms[i]) for i in at] + [before] * (head > 0)
+        sums = [int(x) for x in np.add.reduceat(n, at)] if at else []
+        return pa.table({"k": t["k"].take(pa.array([0] * len(start), pa.int64())), "start": pa.array(start, pa.int64()), "n": pa.array(sums + [head] * (head > 0), pa.int64())})
+
+    ends = each.groupBy("k", "slice").applyInArrow(through, f"k {kind}, slice bigint, ms bigint, last bigint")
+    chain = ends.groupBy("k").applyInArrow(chained, f"k {kind}, slice bigint, before bigint, entry bigint").alias("c")
+    placed = each.alias("e").join(chain, F.col("e.k").eqNullSafe(F.col("c.k")) & (F.col("e.slice") == F.col("c.slice"))).select("e.*", "before", "entry")
+    parts = placed.groupBy("k", "slice").applyInArrow(counted, f"k {kind}, start bigint, n bigint")
+    return parts.groupBy("k", "start").agg(F.sum("n").alias("n")).select(F.col("k").alias(by), F.timestamp_millis("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def quota_from_first(events: DataFrame, by: str, ts: str, most: int, seconds: int = 60) -> DataFrame:
@@ -250,7 +298,7 @@ def append(df: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def keep_newest(df: DataFrame, path: str, order: list[Column], most: int = 100) -> None:
-    """Writes the newest rows anew: a sample store of a fixed length."""
+    """Writes the newest rows anew, to a path that they aren't read from; a store that keeps its newest rows by itself is `Versions.keep_newest`."""
     df.orderBy(*order).limit(most).write.mode("overwrite").parquet(path)
 
 
