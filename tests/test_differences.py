@@ -29,3 +29,9 @@ def test_bursts_without_a_time_and_in_any_zone(spark, tmp_path, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == want and len(got) == len(rows)
+
+
+def test_letters_after_letters_that_are_not_ascii(spark, tmp_path):
+    texts = ["micición y y jañ ñja", "ñ a b c d", "ña b c d é", "a\vb\vc\vd", "é_a b c d", "x\fa b\tc", ""]
+    got, want = both(spark, tmp_path, "split_letters", "conversations", [(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
+    assert got == want
