@@ -1,12 +1,16 @@
 """Where Spark and the queries' SQL read the same thing in two ways."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spanscan import plans
+from spanscan.functions import text as T
+from spanscan.functions import triggers, variants
+from spanscan.operators import provenance
 
 
 def both(spark, tmp_path, name, table, rows, schema):
@@ -35,3 +39,40 @@ def test_letters_after_letters_that_are_not_ascii(spark, tmp_path):
     texts = ["micición y y jañ ñja", "ñ a b c d", "ña b c d é", "a\vb\vc\vd", "é_a b c d", "x\fa b\tc", ""]
     got, want = both(spark, tmp_path, "split_letters", "conversations", [(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
     assert got == want
+
+
+def test_readings_without_a_step_for_each_character():
+    rng = random.Random(7)
+    some = ["a", "Z", "0", "3", "@", "$", " ", "\n", "\t", "\v", "\r\n", "é", "а", "р", "ａ", "ﬁ", "​", "‍", "­", "́", "한", "ο", "x y z w", "🇩🇪", "±", "½", "ſ"]
+    for n in range(3000):
+        text = "".join(rng.choice(some[: 8 if n % 3 == 0 else 20 if n % 3 == 1 else len(some)]) for _ in range(rng.randrange(14)))
+        plain = variants.normalised(text)
+        other = variants.unleeted(plain)
+        got = variants._readings(text, True)
+        for kind, want, there in (("normal", plain, plain.text != text), ("leet", other, other.text not in (plain.text, text))):
+            assert (got[kind] is not None) == there, (text, kind)
+            if there:
+                assert (got[kind]["text"], list(got[kind]["starts"]), list(got[kind]["ends"])) == (want.text, want.starts, want.ends), (text, kind)
+
+
+def test_texts_that_hold_what_a_detector_asks_for():
+    import re
+
+    for d in plans.DETECTORS:
+        asked = triggers.asks(d.pattern)
+        assert asked == tuple(sorted(set(asked)))
+    assert triggers.asks(r"(?:[0-9]|x)y") == () and triggers.asks(r"[0-9]?@{2}") == ("@",) and triggers.asks("(?i)[a-z]{40}") == () and triggers.asks(r"a{20}[A-Za-z]{20}") == ("run",)
+    sample = "sk-ant-" + "a" * 30 + " 4111 1111 1111 1111 a.b@c.example 10.0.0.1 fe80::1 " + "A1" * 20
+    for d in plans.DETECTORS:
+        if re.search(d.pattern, sample):
+            assert all({"0": re.search("[0-9]", sample), "run": re.search(r"[A-Za-z0-9_/+-]{20}", sample)}.get(a, a in sample) for a in triggers.asks(d.pattern)), d.type
+
+
+def test_long_texts_are_read_once(spark):
+    """What a query's plan computes for each row: windows only where they are wanted, no sorting of characters."""
+    text = "".join(chr(97 + i % 7) for i in range(200_000)) + "é"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(F.round(T.entropy(F.col("t")), 9), F.round(T.entropy_of_long(F.col("t")), 9)).collect()]
+    assert all(a == b for a, b in got)
+    cut = df.select(provenance.windows_at(F.col("t"), F.array(F.lit(0), F.lit(150)), 1500, 500).alias("w"), F.get(provenance.windows(F.col("t"), 1500, 500), F.lit(150)).alias("v"), provenance.n_windows(F.col("t"), 1500, 500).alias("n")).first()
+    assert [w["ix"] for w in cut["w"]] == [0, 150] and cut["w"][1]["text"] == cut["v"] == text[150_000:151_500] and cut["n"] == 200
