@@ -4,13 +4,14 @@ import datetime as dt
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanscan import plans
 from spanscan.functions import text as T
 from spanscan.functions import triggers, variants
-from spanscan.operators import provenance
+from spanscan.operators import attachments, provenance
 
 
 def both(spark, tmp_path, name, table, rows, schema):
@@ -76,3 +77,13 @@ def test_long_texts_are_read_once(spark):
     assert all(a == b for a, b in got)
     cut = df.select(provenance.windows_at(F.col("t"), F.array(F.lit(0), F.lit(150)), 1500, 500).alias("w"), F.get(provenance.windows(F.col("t"), 1500, 500), F.lit(150)).alias("v"), provenance.n_windows(F.col("t"), 1500, 500).alias("n")).first()
     assert [w["ix"] for w in cut["w"]] == [0, 150] and cut["w"][1]["text"] == cut["v"] == text[150_000:151_500] and cut["n"] == 200
+
+
+def test_places_of_parts_are_those_of_the_parts():
+    sizes = [10, attachments.BYTES_AT_ONCE + 1, 10, *[0] * 600]
+    assert list(attachments._few(pa.array([b"x" * n for n in sizes], pa.binary()))) == [(0, 1), (1, 2), (2, 258), (258, 514), (514, 603)] and list(attachments._few(pa.array([], pa.binary()))) == [(0, 0)]
+    body = b'--b\r\nContent-Disposition: form-data; name="n"; filename="f"\r\nContent-Type: a/b\r\n\r\none\r\n--b\n\nno headers\n--b\nX: y\n\n\r\n--b--\r\n'
+    got = attachments._each(pa.array([body, None, b""], pa.binary()), pa.array(["b", "b", "b"]), attachments.PLACE, lambda b, lo, hi: {"n_bytes": hi - lo}).to_pylist()
+    whole = attachments._each(pa.array([body, None, b""], pa.binary()), pa.array(["b", "b", "b"]), attachments.PART, lambda b, lo, hi: {"body": bytes(b[lo:hi])}).to_pylist()
+    assert got[1:] == whole[1:] == [None, []] and [p["n_bytes"] for p in got[0]] == [len(p["body"]) for p in whole[0]]
+    assert [p["body"] for p in whole[0]][0] == b"one" and all(body[p["first_byte"] : p["first_byte"] + len(p["body"])] == p["body"] for p in whole[0]) and whole[0][0]["filename"] == "f"
