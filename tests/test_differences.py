@@ -87,3 +87,9 @@ def test_places_of_parts_are_those_of_the_parts():
     whole = attachments._each(pa.array([body, None, b""], pa.binary()), pa.array(["b", "b", "b"]), attachments.PART, lambda b, lo, hi: {"body": bytes(b[lo:hi])}).to_pylist()
     assert got[1:] == whole[1:] == [None, []] and [p["n_bytes"] for p in got[0]] == [len(p["body"]) for p in whole[0]]
     assert [p["body"] for p in whole[0]][0] == b"one" and all(body[p["first_byte"] : p["first_byte"] + len(p["body"])] == p["body"] for p in whole[0]) and whole[0][0]["filename"] == "f"
+
+
+def test_plans_that_sort_and_scan_once(spark):
+    plan = lambda name: plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan("flag_runs").count("Sort [") == 1
+    assert "FileScan" not in plan("dampened_matches")  # the texts were scanned once, before the join
