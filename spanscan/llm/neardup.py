@@ -1,22 +1,23 @@
 """Near copies by what they share: the Jaccard index of two texts' sets of five-word shingles, exactly computed.
 
-Texts with the same set are copies. Of the others, candidates are those that agree in a band of min-hashes: at an index
-of 0.8, one pair in 17,000 agrees in none of the bands, and fewer above. What has to be found are the connected
-components of the pairs at the index or over it, so not all pairs of a band are compared:
-
-1. Each text is compared with the first one of one of its bands.
-2. In bands that still have several components, but few texts or few pairs of texts of two components, all such pairs are
+Texts with the same set are copies. What has to be found for the others are the connected components of the pairs at the
+index or over it, so not all pairs are compared:
+
+1. `simhash`: each set has a fingerprint, and its vantage-point trees give the links of RADIUS or fewer bits. Each link
+   is checked exactly.
+2. SimHash can't find the rest: at 0.8 two fingerprints differ in 10 bits on average and in 17 at times, and with so wide an
+   overlap a vantage-point tree over 64 bits has nearly all points on both sides of each split. So texts that agree in a
+   band of min-hashes are candidates too: at an index of 0.8, one pair in 17,000 agrees in none of the bands, and fewer
+   above. A text that no tree linked to a smaller one is compared with the first one of one of its bands.
+3. In bands that still have several components, but few texts or few pairs of texts of two components, all such pairs are
    compared. In larger ones, the texts outside the largest component are compared with a few of those in it, each round
    with others, as long as many are found to link.
-3. For the texts of larger bands that still have several components, a prefix filter gives all pairs that can be links, in
+4. For the texts of larger bands that still have several components, a prefix filter gives all pairs that can be links, in
    any band or in none: put in the same order, the rare ones first, two sets that share 0.8 share one of the first fifth
    of their shingles, and with enough behind it. Texts that have a common passage and nothing else share none there.
 
 So the pairs of a band grow with its texts, not with their square, whether its texts are all alike or all apart.
 Comparisons are of arrays of 64-bit hashes, in the JVM; a text that is compared with many is dealt out by salts.
-
-The fingerprints of `simhash` aren't used here: at 0.8 two of them differ in 10 bits on average and in 17 at times, and with
-so wide an overlap a vantage-point tree over 64 bits has nearly all points on both sides of each split.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import in_few, numbered, settled, written
-from .simhash import components
 
 WIDTH, LEAST = 5, 0.8
+#: Bits in which fingerprints of a tree's links differ at most: six parts of 10 or 11 bits name the shards, so that up to 20 million sets, evenly spread, are in shards that fit a task of `simhash`. Links of more bits are left to the bands.
+RADIUS = 5
 #: Min-hashes in a band, and bands.
 ROWS, BANDS = 6, 32
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (2, ROWS * BANDS, 1), np.uint64)
@@ -85,16 +88,18 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sketch(text: str | Column, width: int = WIDTH) -> Column:
-    """same (16 bytes that only texts with the same set share), bands."""
+    """same (16 bytes that only texts with the same set share), fp (the set's fingerprint), bands."""
 
-    @F.arrow_udf("same binary, bands array<long>")
+    @F.arrow_udf("same binary, fp long, bands array<long>")
     def of(texts: pa.Array) -> pa.Array:
-        same, found = [], []
+        same, fps, found = [], [], []
         for t in texts:
             h = hashed(t.as_py(), width)
             same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+            fps.append(simhash.of_hashes(h))
             found.append(bands(h))
-        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["same", "bands"])
+        arrays = [pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(arrays, ["same", "fp", "bands"])
 
     return of(text)
 
@@ -133,20 +138,10 @@ def _joined(roots: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """roots (node, root) with the components that links (a, b) of nodes join; n nodes. Only roots go through the search for components."""
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     between = links.join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
-    to = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    to = simhash.components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
     return in_few(settled(in_few(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), n)), n)
 
 
-def _followed(roots: DataFrame, n: int) -> DataFrame:
-    """roots (node, root) of n nodes, where each root is the node itself or a smaller one, followed to their ends."""
-    while True:
-        on = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        on = settled(in_few(on, n))
-        if on.filter("moved").isEmpty():
-            return on.drop("moved")
-        roots = on.drop("moved")
-
-
 def _apart(members: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     """Of n members: band, node, root, main (the root of most of the band), far (whether the band has many pairs of two roots for each text) of the bands that have several components."""
     rooted = in_few(members.join(roots, "node"), n)
@@ -203,19 +198,33 @@ def _candidates(sets: DataFrame, least: float) -> DataFrame:
     return of("a").join(of("b"), "token").filter(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def groups(texts: DataFrame, nodes: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """nodes (node, bands) with the root of each one's component. texts: place, text; a node is the place of one of the texts with its set."""
+def _by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp), once each: the links of `simhash`'s trees, and nodes of one fingerprint with the first of them. Where one end is in many pairs, it is a."""
+    firsts = settled(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    of = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"of_{side}"))
+    trees = simhash.links(firsts, radius, within=True).join(of("a"), "a").join(of("b"), "b").select(F.col("of_b").alias("a"), F.col("of_a").alias("b"))
+    alike = nodes.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = trees.unionByName(alike).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+    return settled(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")))
+
+
+def groups(texts: DataFrame, nodes: DataFrame, least: float = LEAST, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """nodes (node, fp, bands) with the root of each one's component. texts: place, text; a node is the place of one of the texts with its set."""
+    close = _by_fingerprint(nodes.select("node", "fp"), radius)
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = written(buckets.join(shared, "band"), "members")
-    met = texts.join(members.select(F.col("node").alias("place")).distinct(), "place", "left_semi")
-    sets = written(met.select(F.col("place").alias("node"), shingle_hashes("text", width).alias("hashes")), "shingles")
-    n_members = members.count()
-    stars = settled(in_few(members.groupBy("node").agg(F.min("first").alias("met")), n_members))
+    n_members, n_close = members.count(), close.count()
+    end = lambda which, found: close.select(which("a", "b").alias("node"), which("a", "b").alias("first"), F.lit(found).alias("found"))
+    ends = members.select("node", "first", F.lit(False).alias("found")).unionByName(end(F.least, False)).unionByName(end(F.greatest, True))
+    met = F.when(F.max("found"), F.col("node")).otherwise(F.min("first")).alias("met")  # a node that a tree links to a smaller one meets none by its bands
+    stars = settled(in_few(ends.groupBy("node").agg(met), n_members + 2 * n_close))
     n = stars.count()
     stars = in_few(stars, n)
-    starred = _linked(stars.filter("node <> met").select(F.col("met").alias("a"), F.col("node").alias("b")), sets, least)
-    roots = _followed(stars.select("node").join(starred.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root")), n)
+    read = texts.join(stars.select(F.col("node").alias("place")), "place", "left_semi")
+    sets = written(read.select(F.col("place").alias("node"), shingle_hashes("text", width).alias("hashes")), "shingles")
+    first = close.unionByName(stars.filter("node <> met").select(F.col("met").alias("a"), F.col("node").alias("b")))
+    roots = _joined(stars.select("node", F.col("node").alias("root")), _linked(first, sets, least), n)
     apart = _apart(members.select("band", "node"), roots, n_members)
     near = apart.filter(~F.col("far")).join(stars, "node").select("band", "node", "root", "met")
     of = lambda side: near.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "met")])
@@ -234,10 +243,10 @@ def groups(texts: DataFrame, nodes: DataFrame, least: float = LEAST, width: int
     if not apart.isEmpty():
         left = written(sets.join(apart.select("node", "root").distinct(), "node"), "open-shingles")
         roots = _joined(roots, _linked(_candidates(left, least), left.select("node", "hashes"), least), n)
-    return nodes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.drop("fp", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def one_of_each(docs: DataFrame, least: float = LEAST, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, least: float = LEAST, width: int = WIDTH, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: the one with the smallest key, of repeated rows the first.
 
     A null key is smaller than all others. Null, empty and wordless texts are one group. Texts of fewer words than the
@@ -248,6 +257,6 @@ def one_of_each(docs: DataFrame, least: float = LEAST, width: int = WIDTH, key:
     texts = rows.select("place", F.col(f"row.`{text}`").alias("text"))
     first = F.struct(F.col(f"row.`{key}`").alias("key"), "place")
     sketches = written(rows.select(first.alias("first"), sketch(F.col(f"row.`{text}`"), width).alias("s")).select("first", "s.*"), "sketches")
-    sets = written(sketches.groupBy("same").agg(F.min("first").alias("first"), F.min("bands").alias("bands")).select(F.col("first.place").alias("node"), "first", "bands"), "sets")
-    kept = groups(texts, sets, least, width).groupBy("root").agg(F.min("first").alias("first")).select("first.place")
+    sets = written(sketches.groupBy("same").agg(F.min("first").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")).select(F.col("first.place").alias("node"), "first", "fp", "bands"), "sets")
+    kept = groups(texts, sets, least, width, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.place")
     return rows.join(kept, "place", "left_semi").select("row.*")

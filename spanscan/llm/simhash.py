@@ -32,6 +32,21 @@ SHARD, LEAF = 20_000, 512
 WORTH = 0.7
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for row in range(0, len(bits), 255):  # sums of 255 bits fit in a byte
+            ones += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return ones
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes that are already there: for each bit, whether over half of them have it; of none, zero."""
+    return int.from_bytes(np.packbits(_ones(hashes) * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint_bytes(text: bytes, width: int = 3) -> int:
     """The fingerprint of a text: for each bit, whether over half of the shingles' hashes have it."""
     words = text.lower().split()
@@ -45,9 +60,7 @@ def fingerprint_bytes(text: bytes, width: int = 3) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         h = np.array([hashed(joined[s:e], 42) for s, e in zip(starts[at : min(n, at + (1 << 16))], last[at:], strict=False)], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for row in range(0, len(bits), 255):  # sums of 255 bits fit in a byte
-            ones += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+        ones += _ones(h)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -70,8 +83,8 @@ def _near(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _linked(points: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Links among distinct fingerprints whose components are those of all pairs within the radius; exact, by a local tree."""
+def _linked(points: np.ndarray, radius: int, within: bool = False) -> Iterator[tuple[int, int]]:
+    """Links among distinct fingerprints whose components are those of all pairs within the radius; exact, by a local tree. The second end is the component's first point or, if `within`, the one that was met."""
     stack = [points]
     while stack:
         p = stack.pop()
@@ -87,13 +100,13 @@ def _linked(points: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
             while i < len(grown) and len(p):
                 close = _near(p, grown[i]) <= radius
                 if close.any():
-                    yield from ((int(x), int(grown[0])) for x in p[close])
+                    yield from ((int(x), int(grown[i if within else 0])) for x in p[close])
                     grown += list(p[close])
                     p = p[~close]
                 i += 1
 
 
-def _components(keys: np.ndarray, fps: np.ndarray, radius: int) -> pd.DataFrame:
+def _components(keys: np.ndarray, fps: np.ndarray, radius: int, within: bool = False) -> pd.DataFrame:
     """The links of the shards in arrays sorted by key."""
     a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -105,7 +118,7 @@ def _components(keys: np.ndarray, fps: np.ndarray, radius: int) -> pd.DataFrame:
         a.append(f[hit + step])
         b.append(f[hit])
     for at in np.flatnonzero(sizes > 64):
-        if pairs := list(_linked(fps[cuts[at] : cuts[at + 1]], radius)):
+        if pairs := list(_linked(fps[cuts[at] : cuts[at + 1]], radius, within)):
             x = np.array(pairs, np.uint64)
             a.append(x[:, 0])
             b.append(x[:, 1])
@@ -156,8 +169,8 @@ def _split(shards: DataFrame, radius: int, most: int) -> DataFrame:
         large = settled(large)
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """a, b: links among the distinct values of `fp` that connect exactly what pairs within the radius connect."""
+def links(fps: DataFrame, radius: int = 3, within: bool = False) -> DataFrame:
+    """a, b: links among the distinct values of `fp` that connect exactly what pairs within the radius connect. With `within`, each of them is such a pair; without, fewer steps lead from one end of a component to the other."""
     whole = fps.select(F.lit("").alias("shard"), F.lit(_signed((1 << BITS) - 1)).alias("mask"), "fp")
     shards = _split(settled(_by_parts(whole, [(1 << BITS) - 1], radius)), radius, SHARD).select("shard", "fp")
 
@@ -166,7 +179,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
         def found(t: pa.Table) -> pa.RecordBatch:
             keys = t["shard"].combine_chunks().dictionary_encode().indices.to_numpy()
-            return pa.RecordBatch.from_pandas(_components(keys, t["fp"].to_numpy().view(np.uint64), radius), preserve_index=False)
+            return pa.RecordBatch.from_pandas(_components(keys, t["fp"].to_numpy().view(np.uint64), radius, within), preserve_index=False)
 
         for batch in batches:  # sorted by shard; the last shard of a batch may go on in the next
             rest.append(pa.Table.from_batches([batch]))

@@ -3,10 +3,10 @@
 import random
 import re
 
-from test_free import docs
+from test_free import docs, near_points, plain_components, same
 
 import corpus_pipeline
-from spanscan.llm import neardup
+from spanscan.llm import neardup, simhash
 
 
 def edited(rng, words, n):
@@ -58,6 +58,41 @@ def test_edited_copies_go(spark):
     assert len(corpus_pipeline.drop_near_copies(spark, docs(spark, [(None, "a"), (None, "a")]), "").collect()) == 1
 
 
+def test_copies_by_fingerprints_alone(spark, monkeypatch):
+    """Without a band, SimHash and its trees find what lies within the radius, and the check takes what shares less than 0.8 out again."""
+    def bits(s):
+        h = [neardup.xxhash.xxh64_intdigest(x.encode()) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    monkeypatch.setattr(neardup, "bands", lambda hashes: [])
+    rng = random.Random(9)
+    texts = []
+    for i in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(edited(rng, base, (1, 2, 4, 14)[i % 4]))]
+    sets = [shingles(t) for t in texts]
+    fps = [bits(s) for s in sets]
+    for radius in (neardup.RADIUS, 16):
+        near = [(i, i + 1) for i in range(0, len(texts), 2) if (fps[i] ^ fps[i + 1]).bit_count() <= radius]
+        gone = {j for i, j in near if jaccard(sets[i], sets[j]) >= 0.8}
+        assert len(gone) > 10 and (radius == neardup.RADIUS or len(near) > len(gone))
+        got = neardup.one_of_each(docs(spark, list(enumerate(texts))), radius=radius).collect()
+        assert {r["doc_id"] for r in got} == set(range(len(texts))) - gone
+
+
+def test_links_of_trees_are_within_the_radius(spark, monkeypatch):
+    points = near_points(11, 400)
+    points = sorted({p & ~0xFFFF & (2**64 - 1) for p in points[:300]} | set(points[300:]))  # one shard of hundreds
+    df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in points], "fp long")
+    pairs = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(df, within=True).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs) and same(pairs, points, plain_components(points))
+    chain = [(1 << i) - 1 for i in range(64)]
+    monkeypatch.setattr(simhash, "LEAF", 20)
+    pairs = list(simhash._linked(simhash.np.array(chain, simhash.np.uint64), 3, within=True))
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs) and same(pairs, chain, [0] * 64)
+    assert simhash.of_hashes(simhash.np.array([0b110, 0b011, 0b010], simhash.np.uint64)) == 0b010 and simhash.of_hashes(simhash.np.empty(0, simhash.np.uint64)) == 0
+
+
 def test_hashes_are_of_the_shingles():
     rng = random.Random(3)
     for _ in range(300):
